@@ -4,7 +4,356 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import stats
+from quire.functions import text as T
+from quire.operators import agents, chunking, layout, review
+from quire.sources import documents as D
+from quire.sources import fixtures as X
+from quire.streaming.progress import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _inline(spark: SparkSession, rows: str) -> DataFrame:
+    return spark.sql(rows.replace("\\", "\\\\"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.text_lines(D.book_pages(D.table(spark, sf_dir, "documents")))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.scan(layout.classify(layout.with_defaults(_lines(spark, sf_dir))).select("book", "page", "line", "text", "type", "content_class"))
+
+
+# ---- SQL that several queries share -------------------------------------------------------------------------------
+
+_S = r"[\s\p{Z}]"
+_PAGES = "pg AS (SELECT source book, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) page, text FROM documents)"
+_STRIP = rf"regexp_replace(%s, '^{_S}+|{_S}+$', '', 'g')"
+_LINES = rf"""{_PAGES}, raw AS (SELECT book, page, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) - 1 line FROM pg),
+    ln AS (SELECT book, page, CAST(line AS INTEGER) line, {_STRIP % "x"} text FROM raw WHERE {_STRIP % "x"} <> '')"""
+_CLASSED = rf"""{_LINES}, cl0 AS (SELECT *, length(text) > 3 AND text = upper(text) AND text <> lower(text) bold,
+        CASE WHEN regexp_matches(text, '^({T.HEADING_1})', 'i') THEN 1 WHEN regexp_matches(text, '^({T.HEADING_2})', 'i') THEN 2 ELSE 0 END lvl FROM ln),
+    cl AS (SELECT *, CASE WHEN lvl > 0 THEN 'heading_' || lvl WHEN bold THEN 'bold' ELSE 'text' END type,
+        CASE WHEN lvl > 0 THEN 'heading' WHEN regexp_matches(text, '^[*†‡]|^\(?\p{{Nd}}+[).۔]') THEN 'footnote'
+            WHEN regexp_matches(text, '۝|\p{{Nd}}+{_S}*:{_S}*\p{{Nd}}+|﴿.*﴾') THEN 'quranic_verse'
+            WHEN regexp_matches(lower(text), '{"|".join(T.HADITH_WORDS)}') THEN 'hadith'
+            WHEN regexp_matches(text, '^[-—˖]|{_S}{{4,}}') THEN 'poetry' ELSE 'prose' END content_class FROM cl0)"""
+_CHUNKED = rf"""{_CLASSED}, o AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page, line) ord, length(text) n,
+        regexp_matches(text, '[.?!۔؟؛:»”]$') ends, regexp_matches(text, '^\(?\p{{Nd}}+[).۔]') starts,
+        lvl > 0 OR (length(text) >= 3 AND (regexp_matches(text, '^({T.SECTION_1}|{T.HEADING_2})', 'i') OR regexp_matches(text, '^(---+|===+)$'))) brk FROM cl),
+    r(book, ord, chunk, size, ended, sep) AS (
+        SELECT book, ord, 0, n, ends, '' FROM o WHERE ord = 1
+        UNION ALL
+        SELECT book, ord, chunk + CAST(cut AS INTEGER), CASE WHEN cut THEN n ELSE size + gap + n END, ends, CASE WHEN cut THEN '' ELSE repeat(chr(10), gap) END
+        FROM (SELECT *, size + gap + n > 2400 OR (brk AND size > 600) OR (gap = 2 AND size >= 1200) cut
+            FROM (SELECT o.book, o.ord, o.n, o.ends, o.brk, r.chunk, r.size, CASE WHEN r.ended OR o.starts THEN 2 ELSE 1 END gap FROM r JOIN o ON o.book = r.book AND o.ord = r.ord + 1))),
+    ch AS (SELECT o.*, r.chunk, r.sep FROM o JOIN r USING (book, ord))"""
+_STATUS = "CASE turn % 5 WHEN 0 THEN 'extracted' WHEN 1 THEN 'failed' WHEN 2 THEN 'translated' WHEN 3 THEN 'terminology_reviewed' ELSE 'approved' END"
+_CHUNK_TABLE = f"k AS (SELECT md5(conv_id || '|' || turn) id, conv_id book, turn index, text raw_text, {_STATUS} status FROM conversations)"
+_TERMS = "g AS (SELECT item_id % 5 book, string_split(text, ' ')[1] term, string_split(text, ' ')[2] translation, item_id AS nr, item_id % 2 = 0 approved FROM benchmark)"
+_LAST = "gl AS (SELECT book, term, arg_max(translation, nr) translation FROM g GROUP BY ALL)"
+
+
+def _chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as chunks: a conversation is a book, its turns have states by their number."""
+    return D.table(spark, sf_dir, "conversations").select(F.md5(F.concat_ws("|", "conv_id", "turn")).alias("id"), F.col("conv_id").alias("book"), F.col("turn").alias("index"), F.col("text").alias("raw_text"), F.expr(_STATUS).alias("status"))
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split("text", " ")
+    return D.table(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("book"), F.get(words, F.lit(0)).alias("term"), F.get(words, F.lit(1)).alias("translation"), F.col("item_id").alias("at"), (F.col("item_id") % 2 == 0).alias("approved"))
+
+
+# ---- sources ------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_LINES} SELECT * FROM ln")
+def lines_explode(spark, sf_dir):
+    return _lines(spark, sf_dir)
+
+
+@query(f"WITH {_LINES} SELECT book, page, string_agg(text, chr(10) ORDER BY line) AS text, CAST(count(*) AS BIGINT) n_lines FROM ln GROUP BY book, page")
+def page_text_nonblank(spark, sf_dir):
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    return _lines(spark, sf_dir).groupBy("book", "page").agg(text.alias("text"), F.count("*").alias("n_lines"))
+
+
+@query(rf"""WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<(?:h1|p|li)>.*?</(?:h1|p|li)>')) x, generate_subscripts(regexp_extract_all(html, '(?s)<(?:h1|p|li)>.*?</(?:h1|p|li)>'), 1) - 1 i FROM pages)
+    SELECT page_id, CAST(i AS INTEGER) line_index, regexp_extract(x, '^<(\w+)>', 1) tag, {_STRIP % "regexp_replace(x, '<[^>]*>', '', 'g')"} AS text,
+        CASE WHEN x LIKE '<h1>%' THEN 24.0::DOUBLE ELSE 12.0::DOUBLE END font_size, CASE WHEN x LIKE '<h1>%' THEN 16 ELSE 0 END flags FROM e""")
+def html_blocks(spark, sf_dir):
+    return D.html_blocks(D.table(spark, sf_dir, "pages"))
+
+
+@query("SELECT 'AB' AS text, 'f1' font_name, CAST(15.0 AS DOUBLE) font_size, 16 flags UNION ALL SELECT 'x', 'g', CAST(12.0 AS DOUBLE), 4")
+def span_rollup(spark, sf_dir):
+    rows = spark.sql("""SELECT array(named_struct('text', 'A', 'font', 'f1', 'size', 12D, 'flags', 4), named_struct('text', '', 'font', 'f2', 'size', 0D, 'flags', 16), named_struct('text', 'B', 'font', 'f1', 'size', 18D, 'flags', 2)) spans
+        UNION ALL SELECT array(named_struct('text', ' x ', 'font', 'g', 'size', 0D, 'flags', 4), named_struct('text', '', 'font', 'h', 'size', 0D, 'flags', 2))""")
+    return rows.select(D.span_rollup(F.col("spans")).alias("r")).select("r.text", "r.font_name", "r.font_size", "r.flags")
+
+
+@query(f"SELECT page, trim(text) AS text FROM {X.OCR} WHERE confidence >= 0.75 AND trim(text) <> ''")
+def ocr_filter(spark, sf_dir):
+    box = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(1.0).alias("y")), F.struct(F.lit(4.0).alias("x"), F.lit(3.0).alias("y")))
+    return D.ocr_lines(_inline(spark, X.OCR).withColumn("polygon", box)).select("page", "text")
+
+
+@query(f"WITH {_PAGES}, st AS (SELECT book, CAST(count(*) AS BIGINT) page_count, bool_or(coalesce({_STRIP % 'text'}, '') = '') is_scanned, CAST(sum(length(text)) AS BIGINT) n_chars FROM pg GROUP BY book) SELECT * FROM st")
+def book_stats(spark, sf_dir):
+    pages = D.book_pages(D.table(spark, sf_dir, "documents"))
+    return pages.groupBy("book").agg(F.count("*").alias("page_count"), F.bool_or(T.is_blank(F.col("text"))).alias("is_scanned"), F.sum(F.length("text")).alias("n_chars"))
+
+
+# ---- lines ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}', {b}, {i}, {r}, '{a}', '{c}')" for k, (t, b, i, r, a, c) in enumerate(X.EXPECTED)) + ") AS t(id, type, bold, italic, rtl, alignment, content_class)")
+def line_format(spark, sf_dir):
+    return layout.classify(_inline(spark, X.LINES)).select("id", "type", "bold", "italic", "rtl", "alignment", "content_class")
+
+
+@query(f"WITH {_CLASSED} SELECT book, type, content_class, CAST(count(*) AS BIGINT) n FROM cl GROUP BY ALL")
+def class_counts(spark, sf_dir):
+    return layout.classify(layout.with_defaults(_lines(spark, sf_dir))).groupBy("book", "type", "content_class").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_CLASSED} SELECT book, 'page' || page || '_line' || line line_id, text, type, CAST(12.0 AS DOUBLE) font_size, bold, false italic, 'right' alignment, true rtl, page, content_class FROM cl")
+def format_map(spark, sf_dir):
+    return layout.metadata(layout.classify(layout.with_defaults(_lines(spark, sf_dir)))).select("book", "meta.*")
+
+
+# ---- chunks ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {_CHUNKED}, cnt AS (SELECT book, chunk, content_class, count(*) c, min(ord) f FROM ch GROUP BY ALL),
+    dom AS (SELECT book, chunk, arg_max(content_class, c * 1000000000 - f) content_type FROM cnt GROUP BY ALL)
+    SELECT book, chunk index, md5({_STRIP % "string_agg(sep || text, '' ORDER BY ord)"}) text_md5, any_value(content_type) content_type, min(page) page_start, max(page) page_end, CAST(count(*) AS BIGINT) n_lines
+    FROM ch JOIN dom USING (book, chunk) GROUP BY book, chunk""")
+def chunks_clean(spark, sf_dir):
+    return chunking.assemble(_scanned(spark, sf_dir)).select("book", "index", F.md5("raw_text").alias("text_md5"), "content_type", "page_start", "page_end", "n_lines")
+
+
+@query(f"WITH RECURSIVE {_CHUNKED} SELECT book, page, line, chunk FROM ch")
+def chunk_of_line(spark, sf_dir):
+    return _scanned(spark, sf_dir).select("book", "page", "line", "chunk")
+
+
+@query("SELECT * FROM (VALUES ('b', 0, 'aaaa' || chr(10) || 'bbbb.', 0, 0), ('b', 1, 'cccc' || chr(10) || 'dddddddddd' || chr(10) || 'eeee', 1, 2)) t(book, index, raw_text, page_start, page_end)")
+def chunks_small(spark, sf_dir):
+    rows = layout.classify(layout.with_defaults(_inline(spark, X.SMALL_BOOK), "en"))
+    return chunking.assemble(chunking.scan(rows, 10)).select("book", "index", "raw_text", "page_start", "page_end")
+
+
+@query("""SELECT 'b' book, i index, 'aaaa' || chr(10) || 'bbbb.' || CASE WHEN i > 0 THEN chr(10) || chr(10) || 'cccc' ELSE '' END || CASE WHEN i > 1 THEN chr(10) || 'dddddddddd' ELSE '' END || CASE WHEN i > 2 THEN chr(10) || 'eeee' ELSE '' END raw_text,
+    CASE WHEN i = 0 THEN 2 ELSE 1 END n_lines, 0 page_start, CASE WHEN i < 2 THEN 1 ELSE 2 END page_end FROM (SELECT CAST(unnest(range(4)) AS INTEGER) i)""")
+def chunks_literal(spark, sf_dir):
+    return chunking.literal_chunks(layout.classify(layout.with_defaults(_inline(spark, X.SMALL_BOOK), "en")), 10)
+
+
+_LAGS = "coalesce(lag(text, 2) OVER w, '') n_minus_2, coalesce(lag(text, 1) OVER w, '') n_minus_1, coalesce(lead(text, 1) OVER w, '') n_plus_1, coalesce(lead(text, 2) OVER w, '') n_plus_2"
+
+
+@query(f"SELECT conv_id book, turn index, {_LAGS} FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def chunk_neighbours(spark, sf_dir):
+    return chunking.neighbours(_chunk_table(spark, sf_dir)).drop("id", "raw_text", "status")
+
+
+@query("""WITH c AS (SELECT * FROM conversations WHERE turn <> 2) SELECT c.conv_id book, c.turn index, coalesce(a.text, '') n_minus_2, coalesce(b.text, '') n_minus_1, coalesce(d.text, '') n_plus_1, coalesce(e.text, '') n_plus_2 FROM c
+    LEFT JOIN c a ON a.conv_id = c.conv_id AND a.turn = c.turn - 2 LEFT JOIN c b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1
+    LEFT JOIN c d ON d.conv_id = c.conv_id AND d.turn = c.turn + 1 LEFT JOIN c e ON e.conv_id = c.conv_id AND e.turn = c.turn + 2""")
+def neighbours_by_index(spark, sf_dir):
+    return chunking.neighbours_by_index(_chunk_table(spark, sf_dir).filter("index <> 2")).drop("id", "raw_text", "status")
+
+
+# ---- model calls ----------------------------------------------------------------------------------------------------
+
+
+def _with_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunking.neighbours(_chunk_table(spark, sf_dir)).withColumn("g", F.col("book") % 7)
+    glossary = review.glossary_map(_terms(spark, sf_dir)).withColumnRenamed("book", "g")
+    return chunks.join(glossary, "g", "left").withColumn("glossary", F.coalesce("glossary", F.from_json(F.lit("[]"), "array<struct<term:string,translation:string>>")))
+
+
+_LISTED = f"{_TERMS}, {_LAST}, lg AS (SELECT book g, string_agg('- ' || term || ': ' || translation, chr(10) ORDER BY term) lines FROM gl GROUP BY book)"
+
+
+@query(rf"""WITH {_LISTED}, c AS (SELECT *, coalesce(lag(text) OVER w, '') b, coalesce(lead(text) OVER w, '') a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id book, turn index, md5('Translate the passage from ur to ar. Translate nothing but the passage and answer with the translation alone.' || chr(10) || chr(10) || 'Terms:' || chr(10) || coalesce(lines, '(No glossary entries yet)')
+        || chr(10) || chr(10) || 'Before it:' || chr(10) || CASE WHEN b <> '' THEN substring(b, 1, 200) ELSE '(No context)' END || chr(10) || chr(10) || 'Passage:' || chr(10) || text
+        || chr(10) || chr(10) || 'After it:' || chr(10) || CASE WHEN a <> '' THEN substring(a, 1, 200) ELSE '(No context)' END) prompt_md5 FROM c LEFT JOIN lg ON g = conv_id % 7""")
+def prompt_build(spark, sf_dir):
+    c = F.col
+    prompt = agents.translate_prompt(F.lit("ur"), F.lit("ar"), c("glossary"), c("n_minus_1"), c("raw_text"), c("n_plus_1"))
+    return _with_glossary(spark, sf_dir).select("book", "index", F.md5(prompt).alias("prompt_md5"))
+
+
+@query(rf"""WITH {_TERMS}, {_LAST}, n AS (SELECT book g, count(*) FILTER (WHERE NOT contains('{agents.MOCK_ANSWER}', translation)) n FROM gl GROUP BY book)
+    SELECT conv_id book, turn index, '{agents.MOCK_ANSWER}' translation, CAST(coalesce(n, 0) AS INTEGER) n_errors, CAST(1.0 AS DOUBLE) score, 'OK' summary, CAST(0 AS INTEGER) n_flags, 'terminology_reviewed' status
+    FROM conversations LEFT JOIN n ON g = conv_id % 7""")
+def translate_mock(spark, sf_dir):
+    return agents.translate(_with_glossary(spark, sf_dir)).select("book", "index", "translation", F.size("errors").alias("n_errors"), "verification.score", "verification.summary", F.size("flags").alias("n_flags"), "status")
+
+
+@query("SELECT * FROM (VALUES (0, false, 0, CAST(1.0 AS DOUBLE), 'OK'), (1, true, 1, CAST(0.7 AS DOUBLE), 'Issues flagged'), (2, false, 0, CAST(1.0 AS DOUBLE), 'OK'), (3, false, 0, CAST(1.0 AS DOUBLE), 'OK')) t(id, has_issues, n_issues, score, summary)")
+def verification_parse(spark, sf_dir):
+    v = agents.parse_issues(F.col("answer"))
+    return _inline(spark, X.ANSWERS).select("id", v.alias("v")).select("id", "v.has_issues", F.size("v.issues").alias("n_issues"), "v.score", "v.summary")
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'x', 'y', 'z'), (1, 1, 'w', 'v', NULL)) t(id, place, term, suggested_translation, rationale)")
+def terminology_parse(spark, sf_dir):
+    rows = _inline(spark, X.FLAG_ANSWERS).select("id", F.posexplode(agents.parse_flags(F.col("answer"))).alias("place", "f"))
+    return rows.select("id", "place", "f.term", "f.suggested_translation", F.col("f.reasoning").alias("rationale"))
+
+
+@query(f"WITH {_TERMS}, {_LAST} SELECT c.conv_id book, c.turn index, gl.translation AS lost FROM conversations c JOIN gl ON gl.book = c.conv_id % 7 WHERE NOT contains(c.text, gl.translation)")
+def glossary_violations(spark, sf_dir):
+    lost = F.filter("glossary", lambda e: ~F.contains(F.col("raw_text"), e["translation"]))
+    return _with_glossary(spark, sf_dir).select("book", "index", F.explode(F.transform(lost, lambda e: e["translation"])).alias("lost"))
+
+
+# ---- review ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_CHUNK_TABLE} SELECT book, index, status FROM k WHERE status IN ('extracted', 'failed')")
+def pending_chunks(spark, sf_dir):
+    return review.pending(_chunk_table(spark, sf_dir)).select("book", "index", "status")
+
+
+@query(f"WITH {_CHUNK_TABLE} SELECT book, index, id FROM k ORDER BY book, index LIMIT 20 OFFSET 20")
+def chunks_paged(spark, sf_dir):
+    return review.paged(_chunk_table(spark, sf_dir).select("book", "index", "id"), [F.col("book"), F.col("index")], 2)
+
+
+@query("SELECT source book, CAST(max(doc_id) AS BIGINT) newest FROM documents GROUP BY source ORDER BY newest DESC, book LIMIT 20")
+def books_list(spark, sf_dir):
+    books = D.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("book")).agg(F.max("doc_id").alias("newest"))
+    return review.paged(books, [F.desc("newest"), F.col("book")], 1)
+
+
+@query(f"WITH {_CHUNK_TABLE} SELECT * FROM k WHERE book = 3 AND index = 1")
+def chunk_lookup(spark, sf_dir):
+    return _chunk_table(spark, sf_dir).filter("book = 3 and index = 1")
+
+
+@query(f"WITH {_TERMS}, {_LAST} SELECT * FROM gl")
+def glossary_map(spark, sf_dir):
+    return review.glossary_map(_terms(spark, sf_dir)).select("book", F.inline("glossary"))
+
+
+@query(f"WITH {_TERMS}, b AS (SELECT book, term, arg_max(translation, nr) translation, arg_max(approved, nr) approved FROM g WHERE nr % 3 <> 0 GROUP BY ALL), u AS (SELECT book, term, arg_max(translation || '!', nr) translation FROM g WHERE nr % 3 = 0 GROUP BY ALL) SELECT coalesce(b.book, u.book) book, coalesce(b.term, u.term) term, coalesce(u.translation, b.translation) translation, u.term IS NOT NULL OR coalesce(b.approved, false) approved FROM b FULL JOIN u ON b.book = u.book AND b.term = u.term")
+def glossary_upsert(spark, sf_dir):
+    terms = _terms(spark, sf_dir)
+    base = review.latest(terms.filter("at % 3 <> 0"), ["book", "term"], F.col("at")).select("book", "term", "translation", "approved")
+    return review.glossary_upsert(base, terms.filter("at % 3 = 0").withColumn("translation", F.concat("translation", F.lit("!"))))
+
+
+_FLAG_TABLE = "f AS (SELECT md5(conv_id || '|' || turn || '|f') flag_id, md5(conv_id || '|' || turn) chunk_id, string_split(text, ' ')[1] term, string_split(text, ' ')[2] suggested_translation, turn FROM conversations WHERE role = 'user')"
+_DECISIONS = "d AS (SELECT flag_id, CASE turn % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'edited' END decision, CASE WHEN turn % 3 = 2 THEN upper(term) END final, turn % 4 <> 0 apply FROM f WHERE turn % 8 <> 7 AND turn <> 4)"
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split("text", " ")
+    rows = D.table(spark, sf_dir, "conversations").filter("role = 'user'")
+    return rows.select(F.md5(F.concat_ws("|", "conv_id", "turn", F.lit("f"))).alias("flag_id"), F.md5(F.concat_ws("|", "conv_id", "turn")).alias("chunk_id"), F.get(words, F.lit(0)).alias("term"), F.get(words, F.lit(1)).alias("suggested_translation"), "turn", F.when(F.col("turn") % 2 == 0, "pending").otherwise("accepted").alias("human_decision"))
+
+
+@query(f"WITH {_CHUNK_TABLE}, {_FLAG_TABLE} SELECT f.flag_id, f.term, k.book, k.index FROM f JOIN k ON k.id = f.chunk_id WHERE f.turn % 2 = 0")
+def flags_join(spark, sf_dir):
+    return review.flags_of(_flags(spark, sf_dir), _chunk_table(spark, sf_dir), pending_only=True).select("flag_id", "term", "book", "index")
+
+
+@query(f"WITH {_FLAG_TABLE}, {_DECISIONS} SELECT f.flag_id, f.chunk_id, f.term, f.suggested_translation, coalesce(d.decision, 'pending') human_decision, CASE WHEN d.decision IS NOT NULL THEN coalesce(d.final, f.suggested_translation) END final_value, coalesce(d.decision IN ('accepted', 'edited') AND d.apply, false) to_glossary FROM f LEFT JOIN d USING (flag_id)")
+def decide_flags(spark, sf_dir):
+    flags = _flags(spark, sf_dir)
+    made = flags.filter("turn % 8 <> 7 and turn <> 4").select("flag_id", F.expr("CASE turn % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'edited' END").alias("decision"), F.expr("CASE WHEN turn % 3 = 2 THEN upper(term) END").alias("final"), F.expr("turn % 4 <> 0").alias("apply_to_book"), F.lit(1).alias("at"))
+    earlier = made.withColumns({"decision": F.lit("rejected"), "final": F.lit("old"), "at": F.lit(0)})
+    return review.decide(flags, made.unionByName(earlier))
+
+
+@query(f"WITH {_CHUNK_TABLE} SELECT book, index, CASE WHEN index % 3 = 0 THEN 'edit ' || index ELSE CASE WHEN index % 2 = 0 THEN raw_text END END translated_text, CASE WHEN index % 3 = 0 OR (index % 2 = 0 AND index % 4 = 0) THEN 'approved' ELSE status END status FROM k")
+def edit_and_approve(spark, sf_dir):
+    chunks = _chunk_table(spark, sf_dir).withColumn("translated_text", F.when(F.col("index") % 2 == 0, F.col("raw_text")))
+    edits = chunks.filter("index % 3 = 0").select("book", "index", F.concat(F.lit("edit "), "index").alias("text"), F.lit(2).alias("at"))
+    edits = edits.union(edits.select("book", "index", F.lit("old"), F.lit(1)))
+    asked = chunks.filter("index % 4 = 0 or index = 1").select("book", "index")
+    return review.approve(review.edit(chunks, edits), asked.filter("index % 4 = 0").union(asked.filter("index = 1"))).select("book", "index", "translated_text", "status")
+
+
+@query(f"WITH {_CHUNK_TABLE} SELECT book, CAST(count(*) AS BIGINT) total_chunks, CAST(count(*) FILTER (WHERE status = 'approved') AS BIGINT) completed_chunks, round_even(count(*) FILTER (WHERE status = 'approved') / count(*) * 100, 1) progress_percent FROM k GROUP BY book")
+def progress_percent(spark, sf_dir):
+    return review.progress(_chunk_table(spark, sf_dir))
+
+
+@query("SELECT * FROM (VALUES (0, CAST(0.0 AS DOUBLE)), (1, CAST(33.3 AS DOUBLE)), (2, CAST(100.0 AS DOUBLE)), (3, CAST(62.5 AS DOUBLE))) t(id, percent)")
+def progress_cases(spark, sf_dir):
+    return _inline(spark, X.PROGRESS).select("id", stats.percent(F.col("completed"), F.col("total")).alias("percent"))
+
+
+@query(f"""WITH {_CHUNK_TABLE}, s AS (SELECT *, list_position(['extracted', 'translated', 'verified', 'terminology_reviewed', 'approved'], status) p FROM k)
+    SELECT book, CAST(count(*) AS BIGINT) total, round_even(count(*) FILTER (WHERE p > 1) / count(*) * 100, 1) pct_translated, round_even(count(*) FILTER (WHERE p > 2) / count(*) * 100, 1) pct_verified,
+        round_even(count(*) FILTER (WHERE p > 3) / count(*) * 100, 1) pct_terminology_reviewed, round_even(count(*) FILTER (WHERE p > 4) / count(*) * 100, 1) pct_approved FROM s GROUP BY book""")
+def stage_dashboard(spark, sf_dir):
+    return review.dashboard(_chunk_table(spark, sf_dir))
+
+
+@query(f"WITH {_PAGES}, n AS (SELECT book, count(*) n FROM pg GROUP BY book) SELECT book, page FROM pg JOIN n USING (book) WHERE page BETWEEN greatest(1, n // 2 - 1) AND greatest(1, n // 2 - 1) + 3")
+def test_page_window(spark, sf_dir):
+    pages = D.book_pages(D.table(spark, sf_dir, "documents")).select("book", F.col("page").alias("page_start"))
+    counted = pages.join(pages.groupBy("book").agg(F.count("*").alias("n")), "book")
+    return review.page_window(counted, F.col("n")).select("book", F.col("page_start").alias("page"))
+
+
+@query(f"WITH {_CHUNK_TABLE} SELECT book, CAST(count(*) AS BIGINT) n_chunks, CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) n_failed, CASE WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'review' END status FROM k WHERE index % 2 = 1 OR book % 2 = 0 GROUP BY book")
+def run_outcome(spark, sf_dir):
+    return review.run_outcome(_chunk_table(spark, sf_dir).filter("index % 2 = 1 or book % 2 = 0"))
+
+
+# ---- extensions -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT a.vec_id query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) similarity FROM embeddings a, embeddings b WHERE a.vec_id < 5),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) rank FROM p) SELECT * FROM r WHERE rank <= 5""")
+def glossary_semantic(spark, sf_dir):
+    terms = D.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = terms.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = terms.join(F.broadcast(asked)).select("query_id", "vec_id", F.round(stats.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).filter("rank <= 5")
+
+
+@query("""WITH t AS (SELECT n_nationkey, n_name, list_distinct(list_transform(range(1, length(n_name) + 2), lambda i: substring('  ' || lower(n_name) || ' ', i, 3))) a, list_distinct(list_transform(range(1, 7), lambda i: substring('  india ', i, 3))) b FROM nation)
+    SELECT n_nationkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) similarity FROM t""")
+def glossary_trigram(spark, sf_dir):
+    return D.table(spark, sf_dir, "nation").select("n_nationkey", F.round(stats.trigram_similarity(F.col("n_name"), F.lit("india")), 6).alias("similarity"))
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, CAST(count(*) AS BIGINT) n, round(sum(value), 4) total FROM events GROUP BY ALL")
+def events_by_day(spark, sf_dir):
+    return windowed_counts(D.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query(f"WITH {_CHUNK_TABLE}, {_TERMS}, t AS (SELECT book, term FROM g GROUP BY ALL) SELECT book, index, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.book = k.book AND contains(k.raw_text, t.term)) THEN 'extracted' ELSE status END status FROM k")
+def requeue_changed(spark, sf_dir):
+    return review.requeue(_chunk_table(spark, sf_dir), _terms(spark, sf_dir)).select("book", "index", "status")
+
+
+@query(f"WITH {_CHUNK_TABLE}, {_FLAG_TABLE}, {_TERMS} SELECT DISTINCT k.book, f.term FROM f JOIN k ON k.id = f.chunk_id WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.book = k.book AND g.term = f.term)")
+def new_terms(spark, sf_dir):
+    flags = review.flags_of(_flags(spark, sf_dir), _chunk_table(spark, sf_dir))
+    return review.new_flags(flags, _terms(spark, sf_dir)).select("book", "term")
