@@ -5,8 +5,8 @@ shingles are its prefix, and two sets that are similar enough share one there. P
 and by a bound on the overlap from bit signatures. Then the order is cut into fragments; the overlap of a pair is
 counted in each fragment by itself, and the partial counts are summed per pair.
 
-Documents with the same set are one class. Only what decides the groups is tested: first each set with the smallest
-it meets, then the pairs that are still in different groups. No link between them is lost, and copies are never
+Documents with the same set are one class. Only what decides the groups is tested: first each set with the hub of
+every shingle it shares, then the pairs that are still in different groups. No link between them is lost, and copies are never
 paired with each other one by one.
 """
 
@@ -24,7 +24,7 @@ from ._shared import Scratch, buckets
 from .components import components
 
 #: Words of 64 bits in a signature.
-BITS = 16
+BITS = 32
 #: At most this many shingles count as frequent, at any corpus size; they only change the order, never the result.
 FREQUENT = 1 << 18
 #: A list of ids is broadcast up to this length; longer ones are joined by shuffle.
@@ -73,7 +73,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
             rows: list[tuple] = []
             for d, s in _sets(b, words):
                 bits = np.zeros(64 * BITS, np.uint8)
-                bits[(s >> np.uint64(54)).astype(np.int64)] = 1
+                bits[(s >> np.uint64(53)).astype(np.int64)] = 1
                 with np.errstate(over="ignore"):
                     mark = np.array([s.sum(dtype=np.uint64), (s * s | np.uint64(1)).sum(dtype=np.uint64)] if len(s) else [0, 0], np.uint64).tobytes()
                 rows.append((d, len(s), mark, np.packbits(bits).view(np.int64)))
@@ -165,21 +165,14 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     sizes = classes.join(signed.select(F.col("doc").alias("rep"), "n"), "rep")
     met_of = scratch.cut(met.join(sizes, "doc").groupBy("shingle", "rep").agg(F.max("n").alias("n")).withColumnRenamed("rep", "doc"))
 
-    def nearest(_: tuple, table: pa.Table) -> pa.Table:
-        """Each set with the smallest one it meets under a shingle that isn't too small for it."""
-        h, d, c = (table.column(x).to_numpy() for x in ("shingle", "doc", "n"))
-        by = np.lexsort((d, c, h))
-        h, d, c = h[by], d[by], c[by]
-        group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
-        key = group * (1 << 40) + c
-        hub = np.searchsorted(key, group * (1 << 40) + -(-percent * c // 100))
-        mine = np.flatnonzero(hub < np.arange(len(h)))
-        a, z = d[hub[mine]], d[mine]
-        pairs = np.unique(np.stack([np.minimum(a, z), np.maximum(a, z)]), axis=1)
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
-
-    bucketed = met_of.withColumn("bucket", F.pmod(F.hash("shingle"), F.lit(n)))
-    pairs = bucketed.groupBy("bucket").applyInArrow(nearest, "a long, b long").filter("a <> b").distinct()
+    # the hub of a shingle: of the sets that have it, the one whose shingles most sets have. Near copies of one text
+    # differ from each other twice as much as from that text, and it is the one that lacks none of what they share.
+    # Only sums and maxima are grouped, so a shingle of any number of sets is summed up before the shuffle.
+    spread = met_of.groupBy("shingle").agg(F.count("*").alias("sets"))
+    strength = met_of.join(spread, "shingle").groupBy("doc").agg((F.sum("sets") / F.max("n")).alias("strength"))
+    strong = met_of.join(strength, "doc").groupBy("shingle").agg(F.max(F.struct("strength", (-F.col("doc")).alias("hub"), "n")).alias("best"))
+    hubs = met_of.join(strong, "shingle").select(F.col("doc"), "n", (-F.col("best.hub")).alias("hub"), F.col("best.n").alias("m"))
+    pairs = hubs.filter(f"doc <> hub and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
     bits = signed.withColumnRenamed("bits", "w")
 
     def hopeful(p: DataFrame) -> DataFrame:
