@@ -67,17 +67,17 @@ def windows(turns: DataFrame, room: int = 384, history: int = 96, conv_id: str =
     t = t.withColumn("end", F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.col("base_rows") + F.row_number().over(inside))
     t = t.withColumn("start", F.col("end") - F.col("size")).withColumn("block", F.floor(F.col("start") / room).cast("long"))
     t = t.withColumn("over", ((F.col("end") > (F.col("block") + 1) * room) & (F.col("start") > F.col("block") * room)).cast("int")).withColumn("key", F.col("block") * 2 + F.col("over"))
-    own = t.select("conv_id", "key", "at", "role", "text", "size", "start", F.lit(False).alias("repeat"), "system")
+    own = t.select("conv_id", "key", "at", "turn", "role", "text", "size", "start", F.lit(False).alias("repeat"), "system")
     heads = own.groupBy("conv_id", "key").agg(F.min("start").alias("first"))
     # history: at most `history` tokens before a window start in its own block or the one before
     later = heads.select(F.col("conv_id").alias("c"), "key", "first", F.explode(F.array(F.floor(F.col("first") / room), F.floor(F.col("first") / room) - 1)).alias("b"))
     past = t.join(later.withColumnRenamed("key", "k2"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).filter((F.col("end") <= F.col("first")) & (F.col("start") >= F.col("first") - history))
-    past = past.filter(F.col("role") != "system").select("conv_id", F.col("k2").alias("key"), "at", "role", "text", "size", "start", F.lit(True).alias("repeat"), "system")
+    past = past.filter(F.col("role") != "system").select("conv_id", F.col("k2").alias("key"), "at", "turn", "role", "text", "size", "start", F.lit(True).alias("repeat"), "system")
     rows = own.union(past).withColumn("line", F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END + "\n")))
     loss = F.when((F.col("role") == "assistant") & ~F.col("repeat"), F.length(escape(F.col("text"))))
     rows = rows.withColumn("skip", F.lit(len(TURN) + 1) + F.length(escape_role(F.col("role"))))
-    each = rows.groupBy("conv_id", "key").agg(F.array_sort(F.collect_list(F.struct("at", "line", loss.alias("loss"), "skip", "repeat", "size"))).alias("rows"), F.first("system").alias("system"), F.min(F.when((F.col("role") == "system") & ~F.col("repeat"), F.col("at"))).alias("own_system"))
-    lead = F.col("system").isNotNull() & F.col("own_system").isNull() & (F.col("key") > 0)
+    each = rows.groupBy("conv_id", "key").agg(F.array_sort(F.collect_list(F.struct("at", "line", loss.alias("loss"), "skip", "repeat", "size"))).alias("rows"), F.first("system").alias("system"), F.min(F.when((F.col("role") == "system") & ~F.col("repeat"), F.struct("turn", "text"))).alias("own_system"))
+    lead = F.col("system").isNotNull() & ~F.coalesce(F.col("own_system").eqNullSafe(F.struct("system.turn", "system.text")), F.lit(False)) & (F.col("key") > 0)
     front = F.when(lead, F.concat(F.lit(TURN + "system\n"), escape(F.col("system.text")), F.lit(END + "\n"))).otherwise("")
     kind = "struct<pos:long,spans:array<struct<start:long,length:long>>>"
     begin = F.struct(F.length(front).cast("long").alias("pos"), F.expr("cast(array() as array<struct<start:long,length:long>>)").alias("spans"))

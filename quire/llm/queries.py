@@ -110,10 +110,10 @@ ORACLES: dict[str, str] = {
         t2 AS (SELECT *, sum(size) OVER w e, row_number() OVER w a FROM t1 WINDOW w AS (PARTITION BY conv_id ORDER BY turn, r, t ROWS UNBOUNDED PRECEDING)),
         t3 AS (SELECT *, e - size s, CAST((e - size) // 384 AS BIGINT) b FROM t2),
         t4 AS (SELECT *, 2 * b + CASE WHEN e > 384 * (b + 1) AND s > 384 * b THEN 1 ELSE 0 END k FROM t3),
-        win AS (SELECT conv_id, k, min(s) f, bool_or(r = 'system') has FROM t4 GROUP BY ALL),
+        win AS (SELECT conv_id, k, min(s) f, min(CASE WHEN r = 'system' THEN a END) own FROM t4 GROUP BY ALL),
         past AS (SELECT t4.conv_id, sum(chars) c FROM win JOIN t4 ON t4.conv_id = win.conv_id AND t4.e <= f AND t4.s >= f - 96 AND r <> 'system' GROUP BY ALL),
-        sys AS (SELECT conv_id, arg_min(chars, a) c FROM t4 WHERE r = 'system' GROUP BY ALL),
-        lead AS (SELECT conv_id, sum(c) c FROM win JOIN sys USING (conv_id) WHERE k > 0 AND NOT has GROUP BY ALL)
+        sys AS (SELECT conv_id, arg_min(chars, a) c, min(a) a FROM t4 WHERE r = 'system' GROUP BY ALL),
+        lead AS (SELECT conv_id, sum(c) c FROM win JOIN sys USING (conv_id) WHERE k > 0 AND own IS DISTINCT FROM a GROUP BY ALL)
         SELECT conv_id, CAST(count(*) AS BIGINT) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY a)) turns_sha256,
             CAST(coalesce(sum(CASE WHEN r = 'assistant' THEN length(t) END), 0) AS BIGINT) loss_chars,
             sha256(coalesce(string_agg(CASE WHEN r = 'assistant' THEN t END, '' ORDER BY a), '')) loss_sha256,
