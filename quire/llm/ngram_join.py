@@ -23,7 +23,8 @@ from ._arrays import bytes_of, shingle_sets, slices
 from ._shared import Scratch, buckets
 from .components import components
 
-#: Words of 64 bits in a signature.
+#: Words of 64 bits in a signature. Each shingle flips one bit, so what two sets share cancels out, and no more bits
+#: differ than shingles do.
 BITS = 32
 #: At most this many shingles count as frequent, at any corpus size; they only change the order, never the result.
 FREQUENT = 1 << 18
@@ -72,8 +73,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
         for b in batches:
             rows: list[tuple] = []
             for d, s in _sets(b, words):
-                bits = np.zeros(64 * BITS, np.uint8)
-                bits[(s >> np.uint64(53)).astype(np.int64)] = 1
+                bits = (np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=64 * BITS) & 1).astype(np.uint8)
                 with np.errstate(over="ignore"):
                     mark = np.array([s.sum(dtype=np.uint64), (s * s | np.uint64(1)).sum(dtype=np.uint64)] if len(s) else [0, 0], np.uint64).tobytes()
                 rows.append((d, len(s), mark, np.packbits(bits).view(np.int64)))
