@@ -24,7 +24,8 @@ from ._shared import Scratch, buckets
 from .components import components
 
 #: Words of 64 bits in a signature. Each shingle flips one bit, so what two sets share cancels out, and no more bits
-#: differ than shingles do.
+#: differ than shingles do. Sets with more shingles than that has bits have a wide signature too, of the next power of
+#: two of bits: in a short one the differences of two long sets would cancel out as well.
 BITS = 32
 #: At most this many shingles count as frequent, at any corpus size; they only change the order, never the result.
 FREQUENT = 1 << 18
@@ -67,31 +68,35 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
             h, count = np.unique(np.concatenate(held), return_counts=True)
             h, count = h[count > 1], count[count > 1]
             k = len(h)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array(h.view(np.int64)), pa.array(count)], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64())), pa.array(h.view(np.int64)), pa.array(count)], names=names)
 
-        names = ["doc", "n", "mark", "bits", "shingle", "count"]
+        names = ["doc", "n", "mark", "bits", "wide", "shingle", "count"]
         for b in batches:
             rows: list[tuple] = []
             for d, s in _sets(b, words):
                 bits = (np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=64 * BITS) & 1).astype(np.uint8)
                 with np.errstate(over="ignore"):
                     mark = np.array([s.sum(dtype=np.uint64), (s * s | np.uint64(1)).sum(dtype=np.uint64)] if len(s) else [0, 0], np.uint64).tobytes()
-                rows.append((d, len(s), mark, np.packbits(bits).view(np.int64)))
+                wide = None
+                if len(s) > 64 * BITS:
+                    room = 1 << (len(s) - 1).bit_length()
+                    wide = np.packbits((np.bincount((s & np.uint64(room - 1)).astype(np.int64), minlength=room) & 1).astype(np.uint8)).view(np.int64)
+                rows.append((d, len(s), mark, np.packbits(bits).view(np.int64), wide))
                 held.append(s)
                 size += len(s)
             columns = list(zip(*rows, strict=True))
             k = len(rows)
             if k:
                 bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(columns[3])), BITS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), bits, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), bits, pa.array(columns[4], pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
             if size > 3_000_000:
                 yield frequent()
                 held, size = [], 0
         if held:
             yield frequent()
 
-    seen = scratch.cut(base.mapInArrow(describe, "doc long, n long, mark binary, bits array<long>, shingle long, count long"))
-    rows = seen.filter("mark is not null").select("doc", "n", "mark", "bits")
+    seen = scratch.cut(base.mapInArrow(describe, "doc long, n long, mark binary, bits array<long>, wide array<long>, shingle long, count long"))
+    rows = seen.filter("mark is not null").select("doc", "n", "mark", "bits", "wide")
     often = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("count"))
     often = scratch.cut(often)
     total = often.agg(F.sum("count")).first()[0] or 0
@@ -104,7 +109,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     # a class: the documents with one set; the smallest id stands for it
     first = rows.filter("doc is not null and n > 0").groupBy("mark", "n").agg(F.min("doc").alias("rep"))
     classes = scratch.cut(rows.filter("doc is not null and n > 0").select("doc", "n", "mark").join(first, ["mark", "n"]).groupBy("doc").agg(F.min("rep").alias("rep")))
-    signed = scratch.cut(rows.filter("doc is not null and n > 0").select("doc", "n", "bits").join(classes.filter("doc = rep"), "doc").dropDuplicates(["doc"]).select("doc", "n", "bits"))
+    signed = scratch.cut(rows.filter("doc is not null and n > 0").select("doc", "n", "bits", "wide").join(classes.filter("doc = rep"), "doc").dropDuplicates(["doc"]).select("doc", "n", "bits", "wide"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = order.value
@@ -173,7 +178,8 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     strong = met_of.join(strength, "doc").groupBy("shingle").agg(F.max(F.struct("strength", (-F.col("doc")).alias("hub"), "n")).alias("best"))
     hubs = met_of.join(strong, "shingle").select(F.col("doc"), "n", (-F.col("best.hub")).alias("hub"), F.col("best.n").alias("m"))
     pairs = hubs.filter(f"doc <> hub and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
-    bits = signed.withColumnRenamed("bits", "w")
+    bits = signed.selectExpr("doc", "n", "bits w")
+    wide = signed.filter("wide is not null").select("doc", "wide")
 
     def hopeful(p: DataFrame) -> DataFrame:
         """Pairs whose signatures leave room for enough overlap: it is at most (n + m - differing bits) / 2."""
@@ -182,6 +188,22 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
         most = F.floor((F.col("na") + F.col("nb") - apart) / 2)
         return x.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
+    def narrowed(p: DataFrame) -> DataFrame:
+        """Pairs that pass the same bound by their wide signatures, where both have one of about the same length.
+
+        A signature's lower half and upper half make, bit by bit, the signature of half the length.
+        """
+        x = p.join(wide.selectExpr("doc a", "wide wa"), "a", "left").join(wide.selectExpr("doc b", "wide wb"), "b", "left")
+
+        def fitted(w: str, other: str) -> str:
+            k = f"size({other})"
+            return f"if(size({w}) > {k}, zip_with(slice({w}, 1, {k}), slice({w}, {k} + 1, {k}), (x, y) -> x ^ y), {w})"
+
+        apart = F.expr(f"aggregate(zip_with({fitted('wa', 'wb')}, {fitted('wb', 'wa')}, (x, y) -> bit_count(x ^ y)), 0L, (s, x) -> s + x)")
+        fits = (100 + percent) * F.floor((F.col("na") + F.col("nb") - apart) / 2) >= percent * (F.col("na") + F.col("nb"))
+        known = F.expr("wa is not null and wb is not null and greatest(size(wa), size(wb)) <= 2 * least(size(wa), size(wb))")
+        return x.filter(F.when(known, fits).otherwise(F.lit(True))).select("a", "b", "na", "nb")
+
     def links(p: DataFrame) -> DataFrame:
         """The pairs of p (a written table) that are links: partial overlaps per fragment, summed per pair."""
         wanted = p.selectExpr("a doc").union(p.selectExpr("b doc")).distinct()
@@ -215,7 +237,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
         scratch.drop(frag)
         return out
 
-    tested = scratch.cut(hopeful(pairs))
+    tested = scratch.cut(narrowed(hopeful(pairs)))
     found = links(tested)
     groups = scratch.cut(components(found, scratch))
 
@@ -255,7 +277,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     more = rest.withColumn("bucket", F.pmod(F.hash("shingle"), F.lit(n))).groupBy("bucket").applyInArrow(remaining, "a long, b long").distinct()
     sized = signed.select("doc", "n")
     more = more.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(sized.selectExpr("doc a", "n na"), "a").join(sized.selectExpr("doc b", "n nb"), "b").select("a", "b", "na", "nb")
-    more = scratch.cut(more)
+    more = scratch.cut(narrowed(more))
     if not more.isEmpty():
         found = scratch.cut(found.union(links(more)))
         groups = scratch.cut(components(found, scratch))

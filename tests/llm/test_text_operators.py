@@ -108,6 +108,27 @@ def test_near_copies_of_a_text(spark):
     assert got == brute_groups(rows)
 
 
+def test_long_sets_around_the_doublings(spark):
+    """Sets of 2,000 to 5,000 shingles with a shared passage; copies with changes just below and above what links."""
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(1500)]
+    rows = []
+    for size in (2040, 2052, 2600, 4090, 4100, 5000):
+        own = passage + [f"v{rng.integers(1 << 40)}" for _ in range(size - 1500)]
+        rows.append((len(rows), " ".join(own)))
+        for share in (0.01, 0.019, 0.0215, 0.0225, 0.024, 0.03):
+            w = list(own)
+            for at in rng.choice(size, int(size * share), replace=False):
+                w[at] = f"x{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(w)))
+        rows.append((len(rows), " ".join(own + [f"y{rng.integers(1 << 40)}" for _ in range(size // 5)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df).collect()}
+    want = brute_groups(rows)
+    assert got == want
+    assert 6 < len({c for _, c in want.values()}) < len(rows)
+
+
 def test_groups_of_nothing(spark, docs):
     assert ngram_join.similar_groups(docs.limit(0)).count() == 0
 
