@@ -32,6 +32,8 @@ FREQUENT = 1 << 18
 #: A list of ids is broadcast up to this length; longer ones are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 FRAGMENTS = 4
+#: Classes of copies that hold at least one row in so many are joined by broadcast; there can't be more of them than this.
+HOT = 4096
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -107,8 +109,13 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     order = spark.sparkContext.broadcast((keys[by], (np.arange(len(keys)) + 1)[by].astype(np.int64)))
 
     # a class: the documents with one set; the smallest id stands for it
-    first = rows.filter("doc is not null and n > 0").groupBy("mark", "n").agg(F.min("doc").alias("rep"))
-    classes = scratch.cut(rows.filter("doc is not null and n > 0").select("doc", "n", "mark").join(first, ["mark", "n"]).groupBy("doc").agg(F.min("rep").alias("rep")))
+    marked = rows.filter("doc is not null and n > 0").select("doc", "n", "mark")
+    first = scratch.cut(marked.groupBy("mark", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
+    # classes with at least a HOT-th of the rows, which are at most HOT, are broadcast: their copies stay where they are
+    hot = first.filter(F.col("copies") >= -(-marked.count() // HOT)).select("mark", "n", F.col("rep").alias("near"))
+    near = marked.join(F.broadcast(hot), ["mark", "n"], "left")
+    far = near.filter("near is null").drop("near").join(first.drop("copies"), ["mark", "n"])
+    classes = scratch.cut(near.filter("near is not null").select("doc", F.col("near").alias("rep")).union(far.select("doc", "rep")).groupBy("doc").agg(F.min("rep").alias("rep")))
     signed = scratch.cut(rows.filter("doc is not null and n > 0").select("doc", "n", "bits", "wide").join(classes.filter("doc = rep"), "doc").dropDuplicates(["doc"]).select("doc", "n", "bits", "wide"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
