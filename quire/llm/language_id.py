@@ -24,9 +24,11 @@ SLOTS = 1 << 17
 ORDERS = (2, 3, 4)
 #: n-grams in a run.
 RUN = 32
-#: The model is fitted on at most this many labelled texts of each language (those with the least hash of their id)
-#: and this many bytes of each; every text is predicted.
-SAMPLE, SAMPLE_BYTES = 1500, 20_000
+#: n-grams that are looked up at once.
+BLOCK = RUN * 32768
+#: The model is fitted on about this many whole labelled texts of each language (those with the least hash of their
+#: id); every text is predicted.
+SAMPLE = 1500
 #: Languages with the most labelled texts that are learned; a bound on the model's size.
 LANGUAGES = 200
 UNKNOWN = "und"
@@ -59,6 +61,13 @@ def _slots(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(one: np.ndarray) -> Iterator[np.ndarray]:
+    """The slots of a whole text, a block of places at a time."""
+    for a in range(0, len(one), BLOCK):
+        back = max(0, a - max(ORDERS) + 1)
+        yield _slots(one[back : a + BLOCK])[:, a - back :]
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from rows with a text and a language, a bounded number of each language."""
     spark = docs.sparkSession
@@ -67,23 +76,28 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     each = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not each:
         return Model([], np.zeros((SLOTS, 0), np.float32))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             data, at = bytes_of(b.column(0))
             for i, name in enumerate(b.column(1).to_pylist()):
-                one = data[at[i] : min(at[i + 1], at[i] + SAMPLE_BYTES)]
-                sums[name] = sums.get(name, 0) + np.bincount(_slots(one).ravel(), minlength=SLOTS)
+                sums.setdefault(name, np.zeros(SLOTS, np.int64))
+                for slots in _blocks(data[at[i] : at[i + 1]]):
+                    sums[name] += np.bincount(slots.ravel(), minlength=SLOTS)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.astype(np.int64).tobytes() for v in sums.values()], pa.binary())], names=["lang", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "counts"])
 
     # a sample by the hash of the id: such a share of the hash range for each language as gives `sample` rows
     least = F.create_map(*[x for r in each for x in (F.lit(r["lang"]), F.lit(min(1 << 20, (1 << 20) * sample // r["count"] + 1)))])
     taken = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.coalesce(F.try_element_at(least, F.col("lang")), F.lit(0)))
 
-    def total(key: tuple, table: pa.Table) -> pa.Table:
-        t = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts"))
-        return pa.table({"lang": [key[0].as_py()], "counts": pa.array([t.tobytes()], pa.binary())})
+    def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = np.zeros(SLOTS, np.int64)
+        for b in batches:  # one table at a time is held, however many tasks sent one
+            for x in b.column("counts"):
+                t += np.frombuffer(x.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([t.tobytes()], pa.binary())], names=["lang", "counts"])
 
     found = taken.select("text", "lang").mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(total, "lang string, counts binary").collect()
     names = sorted(r["lang"] for r in found)
@@ -150,10 +164,8 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     columns = source.columns[:-1]
 
     def runs(one: np.ndarray, table: np.ndarray) -> np.ndarray:
-        out, step = [], RUN * 32768
-        for a in range(0, len(one), step):
-            back = max(0, a - max(ORDERS) + 1)
-            slots = _slots(one[back : a + step])[:, a - back :]
+        out = []
+        for slots in _blocks(one):
             logs = table[slots[0]]
             for s in slots[1:]:
                 logs += table[s]
