@@ -65,11 +65,12 @@ def score(docs: DataFrame, target: DataFrame, weight: float = 0.7, doc_id: str =
             blobs = [np.ascontiguousarray(x).astype(np.int32 if x.max(initial=0) < 2**31 else np.int64) for x in np.array_split(sums, PARTS, axis=1)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.itemsize for x in blobs], pa.int32()), pa.array([x.tobytes() for x in blobs], pa.binary())], names=["part", "width", "blob"])
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = 0
-        for w, x in zip(table.column("width").to_pylist(), table.column("blob"), strict=True):
-            total = total + np.frombuffer(x.as_buffer(), np.int32 if w == 4 else np.int64).astype(np.int64)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([total.tobytes()], pa.binary())})
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | int = 0
+        for b in batches:  # one piece at a time is held, however many tasks sent one
+            for w, x in zip(b.column("width").to_pylist(), b.column("blob"), strict=True):
+                total = total + np.frombuffer(x.as_buffer(), np.int32 if w == 4 else np.int64).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "blob"])
 
     counted = scratch.cut(marked.mapInArrow(count, "part int, width int, blob binary").groupBy("part").applyInArrow(add, "part int, blob binary"))
     parts = sorted(counted.collect(), key=lambda r: r["part"])  # 2 x (WORDS + PAIRS) numbers, whatever the corpus
