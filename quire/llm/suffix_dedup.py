@@ -30,6 +30,8 @@ from ._shared import Scratch, buckets
 GRAM = 32
 _POSITION = np.uint64((1 << 24) - 1)
 _CHUNK = 1 << 22
+#: A list of ids is broadcast up to this length; longer ones are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def anchors(data: np.ndarray, span: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +160,6 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = 100, doc_id: s
     copies = scratch.cut(digests.join(first, "digest").filter("doc <> first").select("doc"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         held: list[tuple] = []
         size = 0
 
@@ -178,11 +179,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = 100, doc_id: s
             data, at = bytes_of(b.column(1))
             for i, d in enumerate(b.column(0).to_pylist()):
                 one = data[at[i] : at[i + 1]]
-                mark = hashlib.blake2b(one.tobytes(), digest_size=16).digest()
-                if len(one) < span or mark in seen:
+                if len(one) < span:
                     continue
-                if len(seen) < 200_000:  # copies met again here need no anchors; those met elsewhere are found all the same
-                    seen.add(mark)
                 place, h = anchors(one, span, gram)
                 held.append((h, d, place))
                 size += len(h)
@@ -212,9 +210,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = 100, doc_id: s
         ends = np.concatenate([heads[1:], [len(d)]]) if len(d) else heads
         return pa.table({"doc": pa.array(d[heads], pa.int64()), "places": pa.array([p[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())})
 
-    packed = base.mapInArrow(collect, "bucket int, blob binary")
+    # the first of equal texts sends anchors, its copies none, in whatever order they stand
+    alone = base.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc", "left_anti")
+    packed = alone.mapInArrow(collect, "bucket int, blob binary")
     candidates = scratch.cut(packed.groupBy("bucket").applyInArrow(twice, "doc long, places binary"))
-    candidates = candidates.join(copies, "doc", "left_anti").groupBy("doc").agg(F.collect_list("places").alias("places"))
+    candidates = candidates.groupBy("doc").agg(F.collect_list("places").alias("places"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in range(n)]

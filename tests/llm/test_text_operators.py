@@ -48,6 +48,17 @@ def test_repeats_of_nothing(spark, docs):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_a_copy_ahead_of_the_first(spark):
+    """One partition meets a copy before the document of least id, which shares a passage and repeats itself."""
+    rng = np.random.default_rng(9)
+    long, shared, other = ("".join(map(chr, rng.integers(97, 123, k))) for k in (400, 200, 300))
+    rows = [(5, long + shared + long), (3, long + shared + long), (9, other + shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == brute_repeats(rows)
+    assert got[3][1] == 400 and got[9][1] == 200
+
+
 def test_columnwise_windows():
     rng = np.random.default_rng(3)
     rows = rng.integers(97, 99, (300, 24)).astype(np.uint8)
