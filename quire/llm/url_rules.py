@@ -20,8 +20,6 @@ from ._shared import Scratch
 SUPPORT, CONFIDENCE = 0.002, 0.6
 #: Least number of labelled rows that a rule must cover, where the share would be fewer.
 ROWS = 8
-#: Tokens of one URL that take part in mining (the rarest); matching looks at all of them.
-MINED = 8
 #: The listed rules: verdict, host, path.
 LISTED = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -59,8 +57,8 @@ def listed(url_host: Column, url_path: Column, rules: tuple = LISTED) -> Column:
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (id, tokens, anchor, confidence, support) from labelled(url, bad): which tokens make a URL bad.
 
-    All labelled rows count. However many rows there are, no more token sets can be frequent than MINED choose their
-    sizes, over `support`. Rows whose url or label is null are left out; without labelled rows there are no rules.
+    All labelled rows count, with all of their tokens that are frequent. What bounds the work is `support` alone: tokens
+    that stand together in so many rows are mined in all their combinations. Rows whose url or label is null are left out; without labelled rows there are no rules.
     """
     spark = labelled.sparkSession
     scratch = Scratch(spark, "rules")
@@ -73,8 +71,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     often = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= support * total)
     often = scratch.cut(often)
     known = rows.select("row", "bad", F.explode("tokens").alias("token")).join(often, "token")
-    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "token"))), 1, MINED)
-    baskets = known.groupBy("row").agg(F.first("bad").alias("bad"), F.transform(rarest, lambda x: x["token"]).alias("items"))
+    baskets = known.groupBy("row").agg(F.first("bad").alias("bad"), F.collect_list("token").alias("items"))
     baskets = scratch.cut(baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit("=bad")))).otherwise(F.col("items")).alias("items")))
     if baskets.isEmpty():
         return spark.createDataFrame([], kind)

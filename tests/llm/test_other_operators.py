@@ -55,6 +55,15 @@ def test_mined_rules_by_brute_force(spark):
     assert judged.filter("verdict = 'block' and not (host = 'bad.org' and path like '/x/%')").count() == 0
 
 
+def test_rules_of_common_tokens_in_long_urls(spark):
+    """What makes a URL bad are two tokens more common than nine others that stand beside them."""
+    tail = "/".join(f"r{c}" for c in "abcdefghi")
+    kinds = [("p/q/" + tail, True, 30), ("p/" + tail, False, 15), ("q/" + tail, False, 15), ("p", False, 60), ("q", False, 60)]
+    df = spark.createDataFrame([(f"http://h.org/{x}", bad) for x, bad, n in kinds for _ in range(n)], "url string, bad boolean")
+    rules = url_rules.mine(df, 0.05, 0.9).collect()
+    assert [(r.tokens, r.confidence) for r in rules] == [(["path:p", "path:q"], 1.0)]
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(700, 8)).astype(np.float32)
