@@ -1,8 +1,13 @@
 """Cross-entropy difference: a target and a background n-gram model score each document, token by token.
 
-Both models are bigrams backed by unigrams over one vocabulary: the hashed slots of the words of the whole corpus.
-They are matched: same slots, same smoothing, and both are sums over every document, the target's over the chosen
-ones. A document's score is the mean over its tokens of background loss minus target loss (higher: more like the target).
+Both models are bigrams backed by unigrams over one vocabulary: all the words of the whole corpus, with the counts of
+every word and word pair, however many there are. They are matched: same vocabulary, same smoothing, and both are
+sums over every document, the target's over the chosen ones. A document's score is the mean over its tokens of
+background loss minus target loss (higher: more like the target).
+
+Documents travel in chunks. A chunk sends each of its distinct n-grams, with its own counts, to the n-gram's bucket;
+there the counts of all chunks are added up and sent back to the chunks that asked. So the tables are spread over the
+buckets, and a very common n-gram is one number from each chunk. N-grams are known by hashes of 62 bits.
 """
 
 from __future__ import annotations
@@ -11,38 +16,66 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import bytes_of, mix, slices, word_hashes
-from ._shared import Scratch
+from ._shared import Scratch, buckets
 
-#: Slots of the shared vocabulary and of the word pairs: the models' size at any corpus size.
-WORDS, PAIRS = 1 << 18, 1 << 20
-#: Pieces in which the counts travel.
-PARTS = 64
+#: Bytes of text in a chunk (a longer document stands alone).
+CHUNK = 1 << 21
 _SEED = np.uint64(0x51ED270B9F651A2D)
-
-
-def _tokens(batch: pa.RecordBatch, at_column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of a batch: first row, end row, and per token its row, word slot and pair slot."""
-    data, at = bytes_of(batch.column(at_column))
-    for i, j in slices(at):
-        h, row = word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
-        past = np.zeros(len(h), np.uint64)
-        past[1:] = np.where(row[1:] == row[:-1], h[:-1], np.uint64(0))
-        yield i, j, row, (h % np.uint64(WORDS)).astype(np.int64), (mix(h ^ (past * _SEED + np.uint64(1))) % np.uint64(PAIRS)).astype(np.int64)
+#: What stands before a document's first word.
+_START = np.uint64(0x8C3A5E0D41B7F298)
+#: The lowest two bits of a key: a word, a word (or start) that another follows, a pair of them.
+_WORD, _PAST, _PAIR = np.uint64(0), np.uint64(1), np.uint64(2)
+_KIND = np.uint64(3)
+#: Where the ranges of keys begin and end that a bucket adds up one by one.
+_RANGES = np.array([*(k << 60 for k in range(16)), 2**64 - 1], np.uint64)
+
+
+def _grams(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's row; the distinct keys by bucket; the places of each token's word, past and pair among them; the buckets' cuts."""
+    h, row = word_hashes(data, at)
+    h = h & ~_KIND
+    past = np.full(len(h), _START)
+    past[1:] = np.where(row[1:] == row[:-1], h[:-1], _START)
+    pair = mix(h ^ (past * _SEED + np.uint64(1))) & ~_KIND
+    key, place = np.unique(np.concatenate([h | _WORD, past | _PAST, pair | _PAIR]), return_inverse=True)
+    bucket = ((key >> np.uint64(2)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.arange(len(key))
+    return row, key[order], rank[place].reshape(3, -1), np.searchsorted(bucket[order], np.arange(n + 1))
+
+
+def _short(counts: np.ndarray) -> bytes:
+    """A byte for each count; those of 255 and more follow, with their places."""
+    far = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + far.astype(np.uint32).tobytes() + counts[far].astype(np.int64).tobytes()
+
+
+def _long(blob: pa.Scalar, k: int) -> np.ndarray:
+    raw = blob.as_buffer()
+    far = (len(raw) - k) // 12
+    counts = np.frombuffer(raw, np.uint8, k).astype(np.int64)
+    counts[np.frombuffer(raw, np.uint32, far, k)] = np.frombuffer(raw, np.int64, far, k + 4 * far)
+    return counts
 
 
 def score(docs: DataFrame, target: DataFrame, weight: float = 0.7, doc_id: str = "doc_id", text: str = "text", target_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for every row of docs; target: ids of the target documents.
 
-    Losses are nats per token, score their difference. A text that is null or has no word has 0 tokens and null
+    A token's probability is weight * count(past, word) / count(past) + (1 - weight) * (count(word) + 0.5) / (tokens +
+    0.5 * words), weight under 1; where a model has never met the past, the second part alone. Losses are nats per
+    token, score their difference. A text that is null or has no word has 0 tokens and null
     losses and score. A null id is in no target. Repeated rows count, and are returned, as often as they stand
     there; an empty target makes the target model uniform; an empty table gives no rows; other columns are dropped.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
+    n = buckets(spark)
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     ids = target.select(target[target_id].cast("long").alias("id")).filter("id is not null").distinct()
     size = ids.count()
@@ -50,55 +83,88 @@ def score(docs: DataFrame, target: DataFrame, weight: float = 0.7, doc_id: str =
     marks = ids.withColumn("aim", F.lit(True))
     marked = base.join(F.broadcast(marks) if size <= 2_000_000 else marks, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", F.coalesce("aim", F.lit(False)).alias("aim"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, WORDS + PAIRS), np.int64)
-        seen = False
+    def bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for b in batches:
             aim = np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool)
-            for i, _, row, word, pair in _tokens(b, 1):
-                seen = seen or len(row) > 0
-                mine = aim[i + row]
-                for k, chosen in enumerate((slice(None), mine)):
-                    sums[k, :WORDS] += np.bincount(word[chosen], minlength=WORDS)
-                    sums[k, WORDS:] += np.bincount(pair[chosen], minlength=PAIRS)
-        if seen:
-            blobs = [np.ascontiguousarray(x).astype(np.int32 if x.max(initial=0) < 2**31 else np.int64) for x in np.array_split(sums, PARTS, axis=1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.itemsize for x in blobs], pa.int32()), pa.array([x.tobytes() for x in blobs], pa.binary())], names=["part", "width", "blob"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: np.ndarray | int = 0
-        for b in batches:  # one piece at a time is held, however many tasks sent one
-            for w, x in zip(b.column("width").to_pylist(), b.column("blob"), strict=True):
-                total = total + np.frombuffer(x.as_buffer(), np.int32 if w == 4 else np.int64).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "blob"])
-
-    counted = scratch.cut(marked.mapInArrow(count, "part int, width int, blob binary").groupBy("part").applyInArrow(add, "part int, blob binary"))
-    parts = sorted(counted.collect(), key=lambda r: r["part"])  # 2 x (WORDS + PAIRS) numbers, whatever the corpus
-    if parts:
-        sums = np.concatenate([np.frombuffer(r["blob"], np.int64).reshape(2, -1) for r in parts], axis=1)
-    else:
-        sums = np.zeros((2, WORDS + PAIRS), np.int64)
-    model = np.empty((2, WORDS + PAIRS), np.float32)
-    for k, c in enumerate(sums):
-        total = c[:WORDS].sum()
-        model[1 - k, :WORDS] = (c[:WORDS] + 0.5) / (total + 0.5 * WORDS)
-        model[1 - k, WORDS:] = (c[WORDS:] + 0.5) / (total + 0.5 * PAIRS)
-    shared = spark.sparkContext.broadcast(model)
-    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+            data, at = bytes_of(b.column(1))
+            for i, j in slices(at, CHUNK):
+                rows = [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), b.column(0)[i:j])]
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (at[i : j + 1] - at[i], aim[i:j], data[at[i] : at[j]])]
+                yield pa.RecordBatch.from_arrays(rows + blobs, names=["chunk", "doc_id", "at", "aim", "text"])
+                chunk += 1
+
+    # written once: a chunk must be the same when it asks and when it is scored
+    chunks = scratch.cut(marked.mapInArrow(bind, "chunk long, doc_id array<long>, at binary, aim binary, text binary"))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        logs = np.log(m.astype(np.float64)).astype(np.float32)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.zeros(b.num_rows, np.int64)
-            loss = np.zeros((2, b.num_rows))
-            for i, j, row, word, pair in _tokens(b, 1):
-                n[i:j] = np.bincount(row, minlength=j - i)
-                for k in range(2):
-                    each = -(weight * logs[k, WORDS + pair] + (1 - weight) * logs[k, word])
-                    loss[k, i:j] = np.bincount(row, each, minlength=j - i)
-            none = n == 0
-            a, z = (x / np.maximum(n, 1) for x in loss)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(a, mask=none), pa.array(z, mask=none), pa.array(z - a, mask=none)], schema=out)
-
-    return base.mapInArrow(judge, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            for chunk, at, aim, data in zip(*(b.column(x) for x in ("chunk", "at", "aim", "text")), strict=True):
+                row, key, place, cuts = _grams(np.frombuffer(data.as_buffer(), np.uint8), np.frombuffer(at.as_buffer(), np.int64), n)
+                mine = np.frombuffer(aim.as_buffer(), bool)[row]
+                counts = [np.bincount(x.ravel(), minlength=len(key)) for x in (place, place[:, mine])]
+                keep = [k for k in range(n) if cuts[k] < cuts[k + 1]]
+                blobs = [pa.array([f(x[cuts[k] : cuts[k + 1]]) for k in keep], pa.binary()) for f, x in ((np.ndarray.tobytes, key), (_short, counts[0]), (_short, counts[1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([chunk.as_py()] * len(keep), pa.int64()), *blobs], names=["bucket", "chunk", "key", "every", "chosen"])
+
+    def answer(bucket: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, keys, counts, parts = [], [], ([], []), []
+        for b in batches:
+            asked += b.column("chunk").to_pylist()
+            keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("key")]
+            for held, name in zip(counts, ("every", "chosen"), strict=True):
+                held += [_long(x, len(y)).astype(np.uint32) for x, y in zip(b.column(name), keys[-b.num_rows :], strict=True)]
+        totals = [0, 0, 0]
+        # a chunk's keys are in order, so the bucket is added up one range of keys at a time
+        cuts = np.array([np.searchsorted(x, _RANGES) for x in keys]).T
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            key = np.concatenate([x[a:z] for x, a, z in zip(keys, low, high, strict=True)])
+            if not len(key):
+                continue
+            order = np.argsort(key)
+            key = key[order]
+            heads = np.concatenate([[True], key[1:] != key[:-1]])
+            first, group = np.flatnonzero(heads), np.cumsum(heads) - 1
+            word = (key[first] & _KIND) == _WORD
+            totals[2] += int(word.sum())
+            ends = np.cumsum(high - low)
+            for k, held in enumerate(counts):
+                sums = np.add.reduceat(np.concatenate([x[a:z] for x, a, z in zip(held, low, high, strict=True)])[order].astype(np.int64), first)
+                totals[k] += int(sums[word].sum())
+                back = np.empty(len(order), np.int64)
+                back[order] = sums[group]
+                if k == len(parts):
+                    parts.append([[] for _ in keys])
+                for whole, x in zip(parts[k], np.split(back.astype(np.uint32) if sums.max() < 2**32 else back, ends[:-1]), strict=True):
+                    whole.append(x)
+        known = [pa.array([None, *(_short(np.concatenate(x)) for x in whole)], pa.binary()) for whole in parts]
+        some = [pa.array([None, *asked], pa.int64()), pa.array([bucket[0].as_py()] * (1 + len(asked)), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*some, *known, pa.array([totals] + [None] * len(asked), pa.list_(pa.int64()))], names=["chunk", "bucket", "every", "chosen", "totals"])
+
+    asking = chunks.select("chunk", "at", "aim", "text").mapInArrow(ask, "bucket int, chunk long, key binary, every binary, chosen binary")
+    told = scratch.cut(asking.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, every binary, chosen binary, totals array<long>"))
+    sums = told.filter("chunk is null").agg(*(F.coalesce(F.sum(F.col("totals")[k]), F.lit(0)) for k in range(3))).first()
+    tokens, vocabulary = (sums[1], sums[0]), sums[2]
+    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left.column("doc_id").combine_chunks().flatten()
+        at = np.frombuffer(left.column("at")[0].as_buffer(), np.int64)
+        row, key, place, cuts = _grams(np.frombuffer(left.column("text")[0].as_buffer(), np.uint8), at, n)
+        counts = np.zeros((2, len(key)), np.int64)
+        for k, name in enumerate(("chosen", "every")):
+            for bucket, x in zip(right.column("bucket").to_pylist(), right.column(name), strict=True):
+                counts[k, cuts[bucket] : cuts[bucket + 1]] = _long(x, cuts[bucket + 1] - cuts[bucket])
+        tally = np.bincount(row, minlength=len(ids))
+        loss = []
+        for c, total in zip(counts, tokens, strict=True):
+            word, past, pair = c[place]
+            alone = (word + 0.5) / (total + 0.5 * vocabulary)
+            chance = np.where(past > 0, weight * pair / np.maximum(past, 1) + (1 - weight) * alone, alone)
+            loss.append(np.bincount(row, -np.log(chance), minlength=len(ids)) / np.maximum(tally, 1))
+        none = tally == 0
+        a, z = loss
+        return pa.Table.from_arrays([ids, pa.array(tally, pa.int64()), pa.array(a, mask=none), pa.array(z, mask=none), pa.array(z - a, mask=none)], schema=out)
+
+    replies = told.filter("chunk is not null").drop("totals")
+    return chunks.select("chunk", "doc_id", "at", "text").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(judge, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -1,6 +1,8 @@
 """Language, URLs, search, rules, chat, scoring, components and the pipeline on small and odd inputs."""
 
 import hashlib
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -139,6 +141,36 @@ def test_scores_tell_target_from_background(spark, docs):
     assert lm_score.score(docs.limit(0), docs).count() == 0
 
 
+def test_lm_losses_by_brute_force(spark, docs):
+    """Every word and pair has its own count, and losses are those of conditional probabilities."""
+    df = docs.select("doc_id", "text").union(spark.range(60).selectExpr("id + 100", "concat_ws(' ', transform(sequence(1, 3000), x -> concat('v', (x * x + 7 * id) % (9000 + id))))"))
+    rows, chosen = df.collect(), {0, 8, 13, *range(100, 120)}
+    models = [(Counter(), Counter(), Counter()) for _ in range(2)]
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r.text or "")) for r in rows]
+    for r, w in zip(rows, texts, strict=True):
+        for m in models[0 if r.doc_id in chosen else 1 :]:
+            for c, x in zip(m, (w, [None, *w][: len(w)], list(zip([None, *w], w, strict=False))), strict=True):
+                c.update(x)
+    size = len(models[1][0])
+    assert len(models[1][2]) > 100_000
+
+    def loss(m, w):
+        total, each = sum(m[0].values()), []
+        for past, x in zip([None, *w], w, strict=False):
+            alone = (m[0][x] + 0.5) / (total + 0.5 * size)
+            each.append(-np.log(0.7 * m[2][past, x] / m[1][past] + 0.3 * alone if m[1][past] else alone))
+        return np.mean(each)
+
+    got = {r.doc_id: r for r in lm_score.score(df, spark.createDataFrame([(d,) for d in chosen], "doc_id long")).collect()}
+    assert len(got) == len(rows)
+    for r, w in zip(rows, texts, strict=True):
+        g = got[r.doc_id]
+        assert g.n_tokens == len(w)
+        if w:
+            a, z = loss(models[0], w), loss(models[1], w)
+            assert (g.target_loss, g.background_loss, g.score) == pytest.approx((a, z, z - a), abs=1e-9), r.doc_id
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 200), (150, 200), (7, 7), (None, 1)] + [(500, 501 + i) for i in range(50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
