@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import bytes_of, shingle_sets, slices
-from ._shared import Scratch, buckets
+from ._shared import Scratch, buckets, release, tidy, to_group
 from .components import components
 
 #: Words of 64 bits in a signature. Each shingle flips one bit, so what two sets share cancels out, and no more bits
@@ -32,8 +32,8 @@ FREQUENT = 1 << 18
 #: A list of ids is broadcast up to this length; longer ones are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 FRAGMENTS = 4
-#: Classes of copies that hold at least one row in so many are joined by broadcast; there can't be more of them than this.
-HOT = 4096
+#: Hashes that a task holds before it sends them.
+_HASHES = 400_000
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -91,13 +91,13 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
             if k:
                 bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(columns[3])), BITS).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), bits, pa.array(columns[4], pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
-            if size > 3_000_000:
+            if size > _HASHES:
                 yield frequent()
                 held, size = [], 0
         if held:
             yield frequent()
 
-    seen = scratch.cut(base.mapInArrow(describe, "doc long, n long, mark binary, bits array<long>, wide array<long>, shingle long, count long"))
+    seen = scratch.cut(base.mapInArrow(tidy(describe), "doc long, n long, mark binary, bits array<long>, wide array<long>, shingle long, count long"))
     rows = seen.filter("mark is not null").select("doc", "n", "mark", "bits", "wide")
     often = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("count"))
     often = scratch.cut(often)
@@ -111,11 +111,8 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     # a class: the documents with one set; the smallest id stands for it
     marked = rows.filter("doc is not null and n > 0").select("doc", "n", "mark")
     first = scratch.cut(marked.groupBy("mark", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
-    # classes with at least a HOT-th of the rows, which are at most HOT, are broadcast: their copies stay where they are
-    hot = first.filter(F.col("copies") >= -(-marked.count() // HOT)).select("mark", "n", F.col("rep").alias("near"))
-    near = marked.join(F.broadcast(hot), ["mark", "n"], "left")
-    far = near.filter("near is null").drop("near").join(first.drop("copies"), ["mark", "n"])
-    classes = scratch.cut(near.filter("near is not null").select("doc", F.col("near").alias("rep")).union(far.select("doc", "rep")).groupBy("doc").agg(F.min("rep").alias("rep")))
+    # hot classes are broadcast: their copies stay where they are
+    classes = scratch.cut(to_group(marked, first, ["mark", "n"], "copies", marked.count()).groupBy("doc").agg(F.min("rep").alias("rep")))
     signed = scratch.cut(rows.filter("doc is not null and n > 0").select("doc", "n", "bits", "wide").join(classes.filter("doc = rep"), "doc").dropDuplicates(["doc"]).select("doc", "n", "bits", "wide"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +150,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
                     s = s[:p]
                 held.append((s, d, np.uint32(0)))
                 size += len(s)
-                if size > 1_500_000:
+                if size > _HASHES:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -173,7 +170,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
         keep = np.concatenate([[False], eq]) | np.concatenate([eq, [False]])
         return pa.table({"shingle": pa.array(h[keep].view(np.int64)), "doc": pa.array(d[keep])})
 
-    met = scratch.cut(base.mapInArrow(prefixes, "bucket int, blob binary").groupBy("bucket").applyInArrow(shared, "shingle long, doc long"))
+    met = scratch.cut(base.mapInArrow(tidy(prefixes), "bucket int, blob binary").groupBy("bucket").applyInArrow(shared, "shingle long, doc long"))
     sizes = classes.join(signed.select(F.col("doc").alias("rep"), "n"), "rep")
     met_of = scratch.cut(met.join(sizes, "doc").groupBy("shingle", "rep").agg(F.max("n").alias("n")).withColumnRenamed("rep", "doc"))
 
@@ -235,10 +232,10 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
                 each = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)) for x, y in zip(b.column(4), b.column(5), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(each, pa.int64())], names=["a", "b", "na", "nb", "common"])
 
-        frag = scratch.cut(chosen.mapInArrow(fragments, "doc long, f int, s binary").dropDuplicates(["doc", "f"]))
+        frag = scratch.cut(chosen.mapInArrow(tidy(fragments), "doc long, f int, s binary").dropDuplicates(["doc", "f"]))
         each = p.withColumn("f", F.explode(F.array([F.lit(f) for f in range(FRAGMENTS)])))
         both = each.join(frag.selectExpr("doc a", "f", "s sa"), ["a", "f"]).join(frag.selectExpr("doc b", "f", "s sb"), ["b", "f"])
-        partial = both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(overlap, "a long, b long, na long, nb long, common long")
+        partial = both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(overlap), "a long, b long, na long, nb long, common long")
         sums = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         out = scratch.cut(sums.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"))
         scratch.drop(frag)

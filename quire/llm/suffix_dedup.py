@@ -1,14 +1,15 @@
 """Exact removal of repeated byte strings, by column-wise construction over many strings at once.
 
 Column-wise construction inserts one symbol per string each round, from the last column to the first, and updates
-the order of the collection, its Burrows-Wheeler transform and the common prefixes of neighbours; columns lie in a
-file that is read once, in sequence. Its rounds are as many as the longest string has symbols, and each passes over
+the order of the collection, its Burrows-Wheeler transform and the common prefixes of neighbours, one column after
+the other. Its rounds are as many as the longest string has symbols, and each passes over
 all that was inserted before, so whole documents can't be its strings. They are cut down first, without loss:
 
 1. Among the grams in any window of `span` bytes the one with the least hash is its anchor. Equal windows have equal
    anchors at equal places, so a window can repeat only if its anchor's hash occurs twice.
 2. Around each such anchor stands a context that holds all windows which may have it as their anchor. Contexts with
-   the same anchor meet in one bucket and are the collection: all of one length, so the rounds are as few.
+   the same anchor meet in one bucket and are the collection: all of one length, so the rounds are as few. Equal
+   contexts travel as one string with a list of their places: only the earliest counts, the others are repeats whole.
 3. After each round the windows that start in its column stand in suffix order, and neighbours with a common prefix of
    `span` bytes are equal. All but the earliest of them (smaller id, then earlier start) are removed.
 """
@@ -16,7 +17,6 @@ all that was inserted before, so whole documents can't be its strings. They are
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import bytes_of, mix, prefix_hash, span_hash
-from ._shared import Scratch, buckets
+from ._shared import Scratch, buckets, release, tidy, to_group
 
 GRAM = 32
 _POSITION = np.uint64((1 << 24) - 1)
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
+#: Anchors, and bytes of contexts, that a task holds before it sends them.
+_ANCHORS, _CONTEXTS = 500_000, 24_000_000
 #: A list of ids is broadcast up to this length; longer ones are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -64,41 +66,45 @@ def anchors(data: np.ndarray, span: int, gram: int = GRAM) -> tuple[np.ndarray,
     return place, h[first]
 
 
-def equal_windows(rows: np.ndarray, span: int, valid: np.ndarray) -> tuple[np.ndarray, bytes]:
+def equal_windows(rows: np.ndarray, span: int, valid: np.ndarray) -> np.ndarray:
     """Column-wise construction over equally long strings (rows, in order of age).
 
     Returns for each row and each column of `valid` whether the window of `span` bytes that begins there also begins
-    there in an earlier row (only valid windows count); and the first column in the order of the suffixes behind it.
+    there in an earlier row (only valid windows count).
     """
     (m, width), starts = rows.shape, valid.shape[1]
     small = np.uint8 if width < 250 else np.uint32
     again = np.zeros((m, starts), bool)
     if m < 2:
-        return again, b""
-    with tempfile.TemporaryFile() as columns:
-        columns.write(np.ascontiguousarray(rows.T[::-1]).tobytes())  # last column first: read from front to back
-        columns.seek(0)
-        order, common, empty = np.arange(m), np.zeros(m, small), True
-        last = b""
-        for column in range(width - 1, -1, -1):
-            symbol = np.frombuffer(columns.read(m), np.uint8)[order]
-            last = symbol.tobytes()
-            step = np.argsort(symbol, kind="stable")
-            ordered = symbol[step]
-            same = ordered[1:] == ordered[:-1]
-            if empty:
-                least, empty = np.zeros(m - 1, small), False
-            else:
-                least = _range_min(common, step)
-            common = np.zeros(m, small)
-            common[1:] = np.where(same, least + small(1), 0)
-            order = order[step]
-            if column < starts:
-                heads = np.flatnonzero(common < span)
-                fit = valid[order, column]
-                oldest = np.minimum.reduceat(np.where(fit, order, m), heads)
-                again[order, column] = fit & (order != oldest[np.cumsum(common < span) - 1])
-    return again, last
+        return again
+    columns = np.ascontiguousarray(rows.T)
+    order, common = np.arange(m), np.zeros(m, small)
+    for column in range(width - 1, -1, -1):
+        transform = columns[column][order]  # the symbols before the suffixes, in suffix order: the collection's transform
+        step = np.argsort(transform, kind="stable")
+        ordered = transform[step]
+        least = np.zeros(m - 1, small) if column == width - 1 else _range_min(common, step)
+        common = np.zeros(m, small)
+        common[1:] = np.where(ordered[1:] == ordered[:-1], least + small(1), 0)
+        order = order[step]
+        if column < starts:
+            heads = np.flatnonzero(common < span)
+            fit = valid[order, column]
+            oldest = np.minimum.reduceat(np.where(fit, order, m), heads)
+            again[order, column] = fit & (order != oldest[np.cumsum(common < span) - 1])
+    return again
+
+
+def same_rows(rows: np.ndarray) -> np.ndarray:
+    """For each row the number of the first row with the same bytes (its own, if there is none before)."""
+    key = np.zeros(len(rows), np.uint64)
+    for c in range(rows.shape[1]):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + rows[:, c].astype(np.uint64) + np.uint64(1)
+    _, first, group = np.unique(key, return_index=True, return_inverse=True)
+    like = first[group]
+    odd = np.flatnonzero((rows != rows[like]).any(axis=1))  # another string with the same hash stands for itself
+    like[odd] = odd
+    return like
 
 
 def _range_min(common: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -154,10 +160,16 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = 100, doc_id: s
     width = span + reach
     base = docs.select(docs[doc_id].cast("long").alias("doc"), docs[text].cast("string").alias("text")).filter("doc is not null")
 
+    def listed(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    # an id that stands for several texts takes no part
+    every = scratch.cut(base.select("doc", F.sha2("text", 256).alias("digest"), (F.octet_length("text") >= span).alias("long")))
+    several = scratch.cut(every.groupBy("doc").agg(F.min(F.coalesce("digest", F.lit(""))).alias("a"), F.max(F.coalesce("digest", F.lit(""))).alias("z")).filter("a <> z").select("doc"))
     # whole copies: a digest for each, summed up before the shuffle
-    digests = scratch.cut(base.filter(F.octet_length("text") >= span).select("doc", F.sha2("text", 256).alias("digest")))
+    digests = every.filter("long").join(listed(several), "doc", "left_anti").select("doc", "digest")
     first = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = scratch.cut(digests.join(first, "digest").filter("doc <> first").select("doc"))
+    copies = scratch.cut(to_group(digests, first, ["digest"], "n", every.count()).filter("doc <> first").select("doc"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -184,7 +196,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = 100, doc_id: s
                 place, h = anchors(one, span, gram)
                 held.append((h, d, place))
                 size += len(h)
-                if size > 1_500_000:
+                if size > _ANCHORS:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -204,80 +216,120 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = 100, doc_id: s
         eq = h[1:] == h[:-1]
         keep = order[np.concatenate([[False], eq]) | np.concatenate([eq, [False]])]
         d, p = np.concatenate(ds)[keep], np.concatenate(ps)[keep]
+        to = (mix(d.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+        by = np.lexsort((p, d, to))
+        to, d, p = to[by], d[by], p[by]
+        cuts = np.searchsorted(to, np.arange(n + 1))
+        some = np.flatnonzero(cuts[1:] > cuts[:-1])
+        blobs = [d[cuts[k] : cuts[k + 1]].tobytes() + p[cuts[k] : cuts[k + 1]].tobytes() for k in some]
+        out = pa.table({"to": pa.array(some, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        release()
+        return out
+
+    def places(_: tuple, table: pa.Table) -> pa.Table:
+        ds, ps = [], []
+        for x in table.column("blob"):
+            raw = x.as_buffer()
+            k = len(raw) // 12
+            ds.append(np.frombuffer(raw, np.int64, k))
+            ps.append(np.frombuffer(raw, np.uint32, k, 8 * k))
+        d, p = np.concatenate(ds), np.concatenate(ps)
         by = np.lexsort((p, d))
         d, p = d[by], p[by]
-        heads = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, int)
-        ends = np.concatenate([heads[1:], [len(d)]]) if len(d) else heads
-        return pa.table({"doc": pa.array(d[heads], pa.int64()), "places": pa.array([p[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())})
+        heads = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        return pa.table({"doc": pa.array(d[heads], pa.int64()), "places": pa.array([p[a:b].tobytes() for a, b in zip(heads, [*heads[1:], len(d)], strict=True)], pa.binary())})
 
     # the first of equal texts sends anchors, its copies none, in whatever order they stand
-    alone = base.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc", "left_anti")
-    packed = alone.mapInArrow(collect, "bucket int, blob binary")
-    candidates = scratch.cut(packed.groupBy("bucket").applyInArrow(twice, "doc long, places binary"))
-    candidates = candidates.groupBy("doc").agg(F.collect_list("places").alias("places"))
+    alone = base.join(listed(copies.union(several)), "doc", "left_anti")
+    packed = alone.mapInArrow(tidy(collect), "bucket int, blob binary")
+    # one blob for each pair of buckets, so what is sent doesn't grow with documents times buckets
+    sent = packed.groupBy("bucket").applyInArrow(twice, "to int, blob binary")
+    candidates = scratch.cut(sent.groupBy("to").applyInArrow(places, "doc long, places binary"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in range(n)]
+        held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keep = [k for k in range(n) if held[k]]
-            blobs = [b"".join(np.concatenate([x[j] for x in held[k]]).tobytes() for j in range(5)) for k in keep]
+            d, p, low, high, rows = (np.concatenate([x[j] for x in held]) for j in range(5))
+            key = np.zeros(len(p), np.uint64)
+            for c in range(reach, reach + gram):
+                key = key * np.uint64(0x9E3779B97F4A7C15) + rows[:, c].astype(np.uint64) + np.uint64(1)
+            bucket = (mix(key) % np.uint64(n)).astype(np.int64)
+            like = same_rows(rows)
+            # a bucket's blob: how many strings, the strings, then for each place its string, document, start and bounds
+            order = np.lexsort((like, bucket))
+            cuts = np.searchsorted(bucket[order], np.arange(n + 1))
+            keep, blobs = np.flatnonzero(cuts[1:] > cuts[:-1]), []
+            for k in keep:
+                r = order[cuts[k] : cuts[k + 1]]
+                one, place = np.unique(like[r], return_inverse=True)
+                blobs.append(np.array([len(one)], np.int64).tobytes() + d[r].tobytes() + b"".join(x.astype(np.uint32).tobytes() for x in (place, p[r], low[r], high[r])) + rows[one].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for b in batches:
             data, at = bytes_of(b.column(1))
             for i, d in enumerate(b.column(0).to_pylist()):
                 one = data[at[i] : at[i + 1]]
-                p = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in b.column(2)[i].as_py()])).astype(np.int64)
+                p = np.frombuffer(b.column(2)[i].as_buffer(), np.uint32).astype(np.int64)
                 edge = np.zeros(len(one) + 2 * reach, np.uint8)
                 edge[reach : reach + len(one)] = one
-                rows = edge[p[:, None] + np.arange(width)]
-                low, high = np.maximum(0, reach - p), np.minimum(width, len(one) - p + reach)  # what of a row is text
-                grams = rows[:, reach : reach + gram]
-                key = np.zeros(len(p), np.uint64)
-                for c in range(gram):
-                    key = key * np.uint64(0x9E3779B97F4A7C15) + grams[:, c].astype(np.uint64) + np.uint64(1)
-                bucket = (mix(key) % np.uint64(n)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
-                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                    r = order[a:z]
-                    held[bucket[r[0]]].append((np.full(len(r), d, np.int64), p[r].astype(np.uint32), low[r].astype(np.uint32), high[r].astype(np.uint32), rows[r]))
-                size += len(p) * width
-                if size > 40_000_000:
-                    yield flush()
-                    held, size = [[] for _ in range(n)], 0
+                for k in range(0, len(p), 100_000):
+                    q = p[k : k + 100_000]
+                    rows = edge[q[:, None] + np.arange(width)]
+                    low, high = np.maximum(0, reach - q), np.minimum(width, len(one) - q + reach)  # what of a row is text
+                    held.append((np.full(len(q), d, np.int64), q, low, high, rows))
+                    size += len(q) * width
+                    if size > _CONTEXTS:
+                        yield flush()
+                        held, size = [], 0
         if size:
             yield flush()
 
     def removed(_: tuple, table: pa.Table) -> pa.Table:
-        parts: list[list] = [[], [], [], [], []]
+        strings, parts, total = [], [[] for _ in range(5)], 0
         for x in table.column("blob"):
             raw = x.as_buffer()
-            k, at = len(raw) // (20 + width), 0
-            for j, (kind, each) in enumerate(((np.int64, 1), (np.uint32, 1), (np.uint32, 1), (np.uint32, 1), (np.uint8, width))):
-                parts[j].append(np.frombuffer(raw, kind, k * each, at))
-                at += np.dtype(kind).itemsize * k * each
-        d, p, low, high = (np.concatenate(x) for x in parts[:4])
-        rows = np.concatenate(parts[4]).reshape(-1, width)
+            m = int(np.frombuffer(raw, np.int64, 1)[0])
+            k = (len(raw) - 8 - m * width) // 24
+            parts[0].append(np.frombuffer(raw, np.int64, k, 8))
+            for j in range(4):
+                parts[j + 1].append(np.frombuffer(raw, np.uint32, k, 8 + 8 * k + 4 * j * k).astype(np.int64))
+            parts[1][-1] += total
+            strings.append(np.frombuffer(raw, np.uint8, m * width, 8 + 24 * k).reshape(m, width))
+            total += m
+        d, which, p, low, high = map(np.concatenate, parts)
+        rows = np.concatenate(strings)
+        which = same_rows(rows)[which]
         age = np.lexsort((p, d))
-        d, p, low, high, rows = d[age], p[age].astype(np.int64), low[age], high[age].astype(np.int64), rows[age]
-        same = np.concatenate([[False], (d[1:] == d[:-1]) & (p[1:] == p[:-1]) & (rows[1:] == rows[:-1]).all(axis=1)])
-        d, p, low, high, rows = d[~same], p[~same], low[~same], high[~same], rows[~same]  # a row that stands there twice
+        d, which, p, low, high = d[age], which[age], p[age], low[age], high[age]
+        same = np.concatenate([[False], (d[1:] == d[:-1]) & (p[1:] == p[:-1]) & (which[1:] == which[:-1])])
+        d, which, p, low, high = d[~same], which[~same], p[~same], low[~same], high[~same]  # a place that is there twice
+        # of equal strings with equal bounds the earliest is the only one that can hold something new
+        _, first, group = np.unique(np.stack([which, low, high]), axis=1, return_index=True, return_inverse=True)
+        alone = np.sort(first)
         column = np.arange(reach + 1)
-        again, _ = equal_windows(rows, span, (column >= low[:, None]) & (column + span <= high[:, None]))
-        row, first, last = _runs(again)
-        owner, start, end = d[row], p[row] - reach + first, p[row] - reach + last + span
+        valid = (column >= low[alone, None]) & (column + span <= high[alone, None])
+        row, left, right = _runs(equal_windows(rows[which[alone]], span, valid))
+        late = np.setdiff1d(np.arange(len(d)), alone, assume_unique=True)
+        late = late[np.maximum(low[late], 0) + span <= high[late]]
+        owner = np.concatenate([d[alone[row]], d[late]])
+        start = np.concatenate([p[alone[row]] - reach + left, p[late] - reach + low[late]])
+        end = np.concatenate([p[alone[row]] - reach + right + span, p[late] - reach + high[late]])
+        by = np.argsort(owner, kind="stable")
+        owner, start, end = owner[by], start[by], end[by]
         ids, heads = np.unique(owner, return_index=True)
         spans = []
-        for a, z in zip(heads, [*heads[1:], len(owner)], strict=True):
+        for a, z in zip(heads, [*heads[1:], len(owner)] if len(heads) else [], strict=True):
             s, e = _merge(start[a:z], end[a:z])
             spans.append(np.stack([s, e]).astype(np.uint32).T.tobytes())
-        return pa.table({"doc": pa.array(ids, pa.int64()), "spans": pa.array(spans, pa.binary())})
+        out = pa.table({"doc": pa.array(ids, pa.int64()), "spans": pa.array(spans, pa.binary())})
+        release()
+        return out
 
-    windows = base.join(candidates, "doc").select("doc", "text", "places").mapInArrow(contexts, "bucket int, blob binary")
+    windows = base.join(candidates, "doc").select("doc", "text", "places").mapInArrow(tidy(contexts), "bucket int, blob binary")
     spans = scratch.cut(windows.groupBy("bucket").applyInArrow(removed, "doc long, spans binary"))
+    scratch.drop(every, several, candidates)
     none = F.lit(None)
     rows = spans.select("doc", "spans", F.lit(False).alias("whole")).union(copies.select("doc", none.cast("binary"), F.lit(True)))
     return rows.groupBy("doc").agg(F.max("whole").alias("whole"), F.collect_list("spans").alias("spans"))
@@ -288,8 +340,9 @@ def remove_repeats(docs: DataFrame, span: int = 100, doc_id: str = "doc_id", tex
 
     Returns per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; a cut may fall inside a
     character) and n_removed = 0 where nothing repeats. A null text counts as empty; texts under span bytes are left as they are; a row with a
-    null id takes no part and is kept whole; ids are taken to be unique (rows that share one are judged as one document that
-    stands there more than once, none of them earlier than the other); an empty table gives none; the columns `keep` are carried
+    null id takes no part and is kept whole; rows that repeat an id and its text are one
+    document that stands there more than once, none of them earlier than the other; an id with several texts takes no
+    part, and all its rows are kept whole; an empty table gives none; the columns `keep` are carried
     along under keep_<name>, others are dropped.
     """
     spark = docs.sparkSession
@@ -320,5 +373,5 @@ def remove_repeats(docs: DataFrame, span: int = 100, doc_id: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary()), b.column(4)], names=["doc_id", *out, "rest"])
 
     joined = base.join(spans, "doc", "left").select("doc", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans", "rest")
-    done = joined.mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, rest {kind}")
+    done = joined.mapInArrow(tidy(cut), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, rest {kind}")
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *[F.col(f"rest.c{k}").alias(f"keep_{c}") for k, c in enumerate(keep or [])])

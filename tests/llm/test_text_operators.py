@@ -59,12 +59,47 @@ def test_a_copy_ahead_of_the_first(spark):
     assert got[3][1] == 400 and got[9][1] == 200
 
 
+def by_brute_force(spark, rows, order):
+    df = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == brute_repeats(rows)
+    return got
+
+
+def test_any_order_of_rows(spark):
+    """Passages in many documents, at their begins and ends too, and copies: shuffled and in descending order."""
+    rng = np.random.default_rng(11)
+    word = lambda k: "".join(map(chr, rng.integers(97, 123, k)))
+    passages = [word(k) for k in (100, 101, 150, 400)]
+    rows = [(d, word(int(rng.integers(0, 150))) + "".join(passages[k] + word(int(rng.integers(0, 40))) for k in rng.integers(0, 4, rng.integers(0, 4)))) for d in range(60)]
+    rows += [(100 + d, rows[d][1]) for d in range(0, 60, 7)] + [(-5, rows[9][1])]
+    for order in (rng.permutation(len(rows)), sorted(range(len(rows)), key=lambda i: -rows[i][0])):
+        assert sum(x[1] > 0 for x in by_brute_force(spark, rows, order).values()) > 20
+
+
+def test_anchors_that_recur_without_a_repeat(spark):
+    """Phrases of 60 bytes in several documents make candidates, but no string of 100 bytes stands there twice."""
+    rng = np.random.default_rng(13)
+    phrase = "".join(map(chr, rng.integers(97, 123, 60)))
+    rows = [(d, "".join(map(chr, rng.integers(97, 123, 80))) + phrase + "".join(map(chr, rng.integers(97, 123, 80)))) for d in range(4)]
+    assert all(x[1] == 0 for x in by_brute_force(spark, rows, range(4)).values())
+
+
+def test_repeated_ids(spark):
+    """The same row twice is one document; an id with two texts takes no part."""
+    rng = np.random.default_rng(17)
+    t, u = ("".join(map(chr, rng.integers(97, 123, 300))) for _ in range(2))
+    df = spark.createDataFrame([(3, t), (3, t), (5, u), (5, t), (5, "short"), (7, "x" + t), (9, t), (9, t)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == [(3, 300, 0), (3, 300, 0), (5, 5, 0), (5, 300, 0), (5, 300, 0), (7, 301, 300), (9, 300, 300), (9, 300, 300)]
+
+
 def test_columnwise_windows():
     rng = np.random.default_rng(3)
     rows = rng.integers(97, 99, (300, 24)).astype(np.uint8)
     rows[200:] = rows[rng.integers(0, 200, 100)]
     valid = rng.random((300, 9)) < 0.8
-    got, _ = suffix_dedup.equal_windows(rows, 16, valid)
+    got = suffix_dedup.equal_windows(rows, 16, valid)
     for c in range(9):
         first = {}
         for i in range(300):
