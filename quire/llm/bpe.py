@@ -19,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import ship
+from ._shared import ship, tidy
 
-#: Fragments that a worker process remembers; others are encoded each time they occur.
-REMEMBERED = 600_000
+#: Bytes of fragments and their ids that a worker remembers during a task; others are encoded each time they occur.
+REMEMBERED = 24_000_000
+#: What an entry takes besides its characters and ids.
+_ENTRY = 170
 #: Fragments of more characters are cut at every other certain boundary too.
 LONG = 64
 _LOADED: dict[str, Codec] = {}
@@ -41,6 +43,7 @@ class Codec(dict):
         import tiktoken
         from tokenizers import Tokenizer
 
+        self.room = REMEMBERED
         spec = json.load(open(path, encoding="utf-8"))
         vocab, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         rest = [b for b in range(256) if b not in set(_PRINTED)]
@@ -78,12 +81,18 @@ class Codec(dict):
     def _encode(self, text: str) -> list[int]:
         return self.ranks.encode_ordinary(text) if self.ranks else self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def forget(self) -> None:
+        """Gives the memory of the fragments back."""
+        self.clear()
+        self.room = REMEMBERED
+
     def __missing__(self, fragment: str) -> bytes:
         text = fragment if fragment[:1] == "\n" else " " + fragment
         ids = [i for part in self.forced(text) for i in self._encode(part)] if len(text) > LONG else self._encode(text)
         out = array("I", ids).tobytes()
-        if len(self) < REMEMBERED:
+        if self.room > 0:
             self[fragment] = out
+            self.room -= _ENTRY + len(fragment) + len(out)
         return out
 
     def forced(self, text: str) -> list[str]:
@@ -164,6 +173,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text
             if with_ids:
                 columns += [pa.array(lists, pa.list_(pa.int32())), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        c.forget()
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(work, ddl)
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(tidy(work), ddl)

@@ -17,22 +17,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import bytes_of
-from ._shared import ship
+from ._shared import ship, tidy
 
-#: Slots of the hashed n-gram tables, and the lengths of n-grams that share them.
-SLOTS = 1 << 17
+#: Slots of the hashed n-gram tables, and the lengths of n-grams that share them. With so many languages that the
+#: tables had more than ROOM entries together, slots are halved until they fit: no language is left out.
+SLOTS, ROOM = 1 << 17, 1 << 26
 ORDERS = (2, 3, 4)
 #: n-grams in a run.
 RUN = 32
+#: Bytes of texts whose mixtures are found together.
+TEXTS = 1 << 20
 #: n-grams that are looked up at once.
 BLOCK = RUN * 32768
 #: The model is fitted on about this many whole labelled texts of each language (those with the least hash of their
 #: id); every text is predicted.
 SAMPLE = 1500
-#: Languages with the most labelled texts that are learned; a bound on the model's size.
-LANGUAGES = 200
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32
@@ -44,7 +45,19 @@ class Model:
     table: np.ndarray  # [slot, language] log-likelihoods
 
 
-def _slots(data: np.ndarray) -> np.ndarray:
+def has_letter(text: str) -> bool:
+    """Whether a character has one of the letter categories; fractions and the like are word characters, but none."""
+    return any(m.group().isalpha() for m in _WORD.finditer(text))
+
+
+def slots_for(languages: int) -> int:
+    slots = SLOTS
+    while slots * languages > ROOM and slots > 1:
+        slots //= 2
+    return slots
+
+
+def _slots(data: np.ndarray, size: int = SLOTS) -> np.ndarray:
     """The slots of all n-grams, one row per order; each is at the place of its last byte."""
     x = _FOLD[data]
     out = np.zeros((len(ORDERS), len(x)), np.int64)
@@ -57,34 +70,39 @@ def _slots(data: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
-        out[k] = h % np.uint32(SLOTS)
+        out[k] = h & np.uint32(size - 1)
     return out
 
 
-def _blocks(one: np.ndarray) -> Iterator[np.ndarray]:
+def _blocks(one: np.ndarray, size: int = SLOTS) -> Iterator[np.ndarray]:
     """The slots of a whole text, a block of places at a time."""
     for a in range(0, len(one), BLOCK):
         back = max(0, a - max(ORDERS) + 1)
-        yield _slots(one[back : a + BLOCK])[:, a - back :]
+        yield _slots(one[back : a + BLOCK], size)[:, a - back :]
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from rows with a text and a language, a bounded number of each language."""
+    """Learns from rows with a text and a language, a bounded number of each language.
+
+    Every language that a row names is learned; rows with a null text or language are left out. Repeated rows and ids
+    are rows of their own; without any row the model has no language.
+    """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(docs[doc_id].cast("string").alias("id"), docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang")).filter("text is not null and lang is not null")
-    each = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    each = rows.groupBy("lang").count().collect()
     if not each:
         return Model([], np.zeros((SLOTS, 0), np.float32))
+    size = slots_for(len(each))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             data, at = bytes_of(b.column(0))
             for i, name in enumerate(b.column(1).to_pylist()):
-                sums.setdefault(name, np.zeros(SLOTS, np.int64))
-                for slots in _blocks(data[at[i] : at[i + 1]]):
-                    sums[name] += np.bincount(slots.ravel(), minlength=SLOTS)
+                sums.setdefault(name, np.zeros(size, np.int64))
+                for slots in _blocks(data[at[i] : at[i + 1]], size):
+                    sums[name] += np.bincount(slots.ravel(), minlength=size)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "counts"])
 
@@ -93,17 +111,19 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     taken = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.coalesce(F.try_element_at(least, F.col("lang")), F.lit(0)))
 
     def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = np.zeros(SLOTS, np.int64)
+        t = np.zeros(size, np.int64)
         for b in batches:  # one table at a time is held, however many tasks sent one
             for x in b.column("counts"):
                 t += np.frombuffer(x.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([t.tobytes()], pa.binary())], names=["lang", "counts"])
 
-    found = taken.select("text", "lang").mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(total, "lang string, counts binary").collect()
+    found = taken.select("text", "lang").mapInArrow(tidy(count), "lang string, counts binary").groupBy("lang").applyInArrow(total, "lang string, counts binary").collect()
     names = sorted(r["lang"] for r in found)
-    counts = np.stack([np.frombuffer(next(r["counts"] for r in found if r["lang"] == x), np.int64) for x in names], axis=1).astype(np.float64)
-    logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * SLOTS))
-    return Model(names, logs.astype(np.float32))
+    table, sent = np.empty((size, len(names)), np.float32), {r["lang"]: r["counts"] for r in found}
+    for k, x in enumerate(names):
+        counts = np.frombuffer(sent.pop(x), np.int64)
+        table[:, k] = np.log((counts + 0.5) / (counts.sum() + 0.5 * size))
+    return Model(names, table)
 
 
 def mixtures(like: np.ndarray, heads: np.ndarray, penalty: float = 1.0, steps: int = 12) -> np.ndarray:
@@ -154,18 +174,20 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
     lang_pred is the language with the largest share (ties: the first by name), score its share between 0 and 1.
     A null text, or one without a letter, is `und` with score 0; so is every text if the model has no language.
-    Every whole text is read, in blocks if it is long; repeated rows give repeated rows, an empty table none.
+    Every whole text is read, in blocks if it is long; repeated rows give repeated rows, an empty table none. A kept
+    column with the name of a new one stays beside it, so whoever keeps such a column must rename it first.
     """
     spark = docs.sparkSession
     ship(spark)
     keep = [doc_id] if keep is None else keep
-    shared = spark.sparkContext.broadcast(model)  # SLOTS x languages, both bounded
-    source = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("_text"))
-    columns = source.columns[:-1]
+    shared = spark.sparkContext.broadcast(model)  # ROOM entries at most
+    kinds = dict(docs.dtypes)
+    where = keep.index(text) if text in keep and kinds[text] == "string" else len(keep)  # a kept text travels once
+    source = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(keep)], *([] if where < len(keep) else [docs[text].cast("string").alias("t")]))
 
     def runs(one: np.ndarray, table: np.ndarray) -> np.ndarray:
         out = []
-        for slots in _blocks(one):
+        for slots in _blocks(one, len(table)):
             logs = table[slots[0]]
             for s in slots[1:]:
                 logs += table[s]
@@ -175,22 +197,28 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            data, at = bytes_of(b.column(b.num_columns - 1))
+            texts = b.column(where)
+            data, at = bytes_of(texts)
             n = b.num_rows
             best, score, shares = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
-            texts = b.column(b.num_columns - 1)
-            real = [i for i in range(n) if m.languages and at[i + 1] > at[i] and _LETTER.search(texts[i].as_py())]
-            for k in range(0, len(real), 512):
-                some = real[k : k + 512]
-                blocks = [runs(data[at[i] : at[i + 1]], m.table) for i in some]
+            real = [i for i in range(n) if m.languages and at[i + 1] > at[i] and has_letter(texts[i].as_py())]
+            some: list[int] = []
+            size = 0
+            for k, i in enumerate(real):
+                some.append(i)
+                size += at[i + 1] - at[i]
+                if size < TEXTS and k + 1 < len(real):
+                    continue
+                blocks = [runs(data[at[j] : at[j + 1]], m.table) for j in some]
                 heads = np.concatenate([[0], np.cumsum([len(x) for x in blocks])[:-1]]).astype(np.int64)
                 share = mixtures(np.concatenate(blocks), heads)
                 top = share.argmax(axis=1)
-                for r, i in enumerate(some):
-                    best[i], score[i] = m.languages[top[r]], min(1.0, float(share[r, top[r]]))
-                    shares[i] = [(m.languages[x], float(share[r, x])) for x in np.flatnonzero(share[r] > 0)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(b.num_columns - 1)), pa.array(best, pa.string()), pa.array(score), pa.array(shares, pa.map_(pa.string(), pa.float64()))], names=[*(f"c{c}" for c in range(b.num_columns - 1)), "lang_pred", "score", "shares"])
-
-    kinds = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(source.schema.fields[:-1]))
-    out = source.toDF(*(f"c{k}" for k in range(len(columns))), "_text").mapInArrow(work, f"{kinds}, lang_pred string, score double, shares map<string,double>")
-    return out.toDF(*columns, "lang_pred", "score", "shares")
+                for r, j in enumerate(some):
+                    best[j], score[j] = m.languages[top[r]], min(1.0, float(share[r, top[r]]))
+                    shares[j] = [(m.languages[x], float(share[r, x])) for x in np.flatnonzero(share[r] > 0)]
+                some, size = [], 0
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(best, pa.string()), pa.array(score), pa.array(shares, pa.map_(pa.string(), pa.float64()))], names=[*(f"c{k}" for k in range(len(keep))), "lang_pred", "score", "shares"])
+
+    fields = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(source.schema.fields[: len(keep)]))
+    out = source.mapInArrow(tidy(work), f"{fields}, lang_pred string, score double, shares map<string,double>")
+    return out.toDF(*keep, "lang_pred", "score", "shares")

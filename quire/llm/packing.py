@@ -9,58 +9,68 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import Scratch, buckets, tidy
 from .bpe import codec
 
+#: So many fillings are looked at together, and the fullest of them tried first; then the next ones.
+AHEAD = 24
+
 Filling = tuple[int, ...]
 Plan = list[tuple[Filling, int]]
 
 
-def fillings(room: int, counts: np.ndarray, most: int) -> list[Filling]:
-    """Undominated fillings of a room beside the largest piece, fullest first, at most `most` of them.
+class Budget:
+    """Steps that a search may still take."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+
+def fillings(room: int, counts: np.ndarray, budget: Budget) -> Iterator[Filling]:
+    """All undominated fillings of a room beside the largest piece, one by one, larger pieces first.
 
-    One piece that fits exactly dominates all others. A filling is dropped if a longer unused piece could replace
-    one of its pieces, or if another piece would still fit.
+    One piece that fits exactly dominates all others, and is the only one. A filling is left out if another piece would
+    still fit, or if a longer unused piece could replace one of its pieces. Each step of the search takes one of the
+    budget, and with none left it ends.
     """
     if room <= 0:
-        return [()]
+        yield ()
+        return
     if counts[room] > 0:
-        return [(room,)]
-    have = np.flatnonzero(counts[: room + 1])
-    if not len(have):
-        return [()]
-    smallest, found, steps = int(have[0]), [], 0
-    stack: list[tuple[int, int, Filling]] = [(room, room, ())]
-    while stack and len(found) < most and steps < 40 * most:
-        steps += 1
-        left, top, used = stack.pop()
-        options = have[: np.searchsorted(have, min(left, top), "right")]
-        options = [int(x) for x in options[::-1][:6] if counts[x] > used.count(int(x))]
-        if not options:
-            found.append((left, used))
+        yield (room,)
+        return
+    have = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1]]
+    if not have:
+        yield ()
+        return
+
+    def undominated(used: Filling, left: int) -> bool:
+        free = [x for x in have if counts[x] > used.count(x)]
+        if free and free[-1] <= left:
+            return False
+        return not left or not any(x < y <= x + left for x in set(used) for y in free)
+
+    # a frame: room left, where in `have` to go on, the pieces so far
+    stack: list[list] = [[room, 0, ()]]
+    while stack and budget.left > 0:
+        budget.left -= 1
+        left, k, used = stack[-1]
+        while k < len(have) and (have[k] > left or counts[have[k]] <= used.count(have[k])):
+            k += 1
+        if k == len(have):
+            stack.pop()
+            if undominated(used, left):
+                yield used
             continue
-        exact = left if left <= top and counts[left] > used.count(left) else None
-        if exact:
-            found.append((0, (*used, exact)))
-            break
-        if left < smallest:
-            found.append((left, used))
-            continue
-        stack += [(left - x, x, (*used, x)) for x in reversed(options)]
-    found.sort(key=lambda f: (f[0], len(f[1]), tuple(-x for x in f[1])))
-    out, seen = [], set()
-    for waste, used in found:
-        dominated = any(counts[x + 1 : x + waste + 1].any() and x + waste <= room and any(counts[y] > used.count(y) for y in range(x + 1, x + waste + 1)) for x in set(used)) if waste else False
-        if used not in seen and (not dominated or not out):
-            seen.add(used)
-            out.append(used)
-    return out
+        stack[-1][1] = k + 1  # later: without another piece of this size
+        stack.append([left - have[k], k, (*used, have[k])])
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> Plan:
@@ -101,51 +111,55 @@ def least_bins(counts: np.ndarray, capacity: int) -> int:
     return max(best, -(-total // capacity))
 
 
-def complete_bins(counts: np.ndarray, capacity: int, nodes: int = 6_000, most: int = 24) -> Plan:
-    """Bin completion: branch over the fillings of the largest piece left, depth first, best filling first.
+def complete_bins(counts: np.ndarray, capacity: int, steps: int = 200_000) -> Plan:
+    """Bin completion: branch over all undominated fillings around the largest piece left, depth first.
 
-    A branch ends when the waste so far leaves no way to beat the incumbent, and the search when the incumbent
-    meets the lower bound or after `nodes` fillings (a bound on time, not on what is packed: the incumbent is
-    always a whole packing). Equal bins are filled as one block.
+    A branch ends when the waste so far leaves no way to beat the incumbent. The search ends when the incumbent meets
+    the lower bound, when every branch has been seen (then the incumbent is the best there is), or after `steps` steps:
+    a bound on time, not on what is packed, as the incumbent is always a whole packing. Of equal bins as many as there
+    can be are filled as one block first, and one alone after that.
     """
     total = int((counts * np.arange(len(counts))).sum())
-    best, low, spent = best_fit(counts, capacity), least_bins(counts, capacity), 0
+    best, low, budget = best_fit(counts, capacity), least_bins(counts, capacity), Budget(steps)
+
+    def moves(left: np.ndarray, size: int) -> Iterator[tuple[Filling, int, int]]:
+        left = left.copy()
+        left[size] -= 1
+        more = fillings(capacity - size, left, budget)
+        for used in (u for few in iter(lambda: list(islice(more, AHEAD)), []) for u in sorted(few, key=lambda u: (-sum(u), len(u)))):
+            whole = (size, *used)
+            again = min(int(left[x] + (x == size)) // whole.count(x) for x in set(whole))
+            yield whole, again, capacity - sum(whole)
+            if again > 1:
+                yield whole, 1, capacity - sum(whole)
+
+    def frame(left: np.ndarray, plan: tuple, waste: int) -> tuple:
+        return left, plan, waste, moves(left, int(np.flatnonzero(left)[-1]))
+
+    # a plan is a chain (filling, times, the chain before, bins so far): branches share what they have in common
     slack = (bins(best) - 1) * capacity - total
-    stack: list[tuple[np.ndarray, Plan, int]] = [(counts.copy(), [], 0)]
-    while stack and bins(best) > low and spent < nodes:
-        left, plan, waste = stack.pop()
-        while True:
-            have = np.flatnonzero(left)
-            if not len(have):
-                if bins(plan) < bins(best):
-                    best, slack = plan, (bins(plan) - 1) * capacity - total
-                break
-            spent += 1
-            if spent >= nodes:
-                break
-            size = int(have[-1])
-            left[size] -= 1
-            options, found = fillings(capacity - size, left, most), []
-            for used in options:
-                lost = capacity - size - sum(used)
-                whole = (size, *used)
-                again = min([int(left[x] + (x == size)) // whole.count(x) for x in set(whole)])
-                if lost:  # a block that wastes room is left only as long as it must be
-                    again = 1 if len(options) > 1 else again
-                if waste + lost * again > slack:
-                    again = 1
-                if waste + lost * again <= slack:
-                    rest = left.copy()
-                    rest[size] += 1
-                    for x in whole:
-                        rest[x] -= again
-                    found.append((rest, [*plan, (whole, again)], waste + lost * again))
-            if not found:
-                break
-            left, plan, waste = found[0]
-            stack += reversed(found[1:4])
-            if len(stack) > 400:
-                del stack[:200]
+    stack = [frame(counts, (None, 0, None, 0), 0)] if counts.any() else []
+    while stack and bins(best) > low and budget.left > 0:
+        left, plan, waste, more = stack[-1]
+        move = next(more, None)
+        if move is None:
+            stack.pop()
+            continue
+        whole, again, lost = move
+        if waste + lost * again > slack:
+            continue
+        rest = left.copy()
+        for x in whole:
+            rest[x] -= again
+        chain = (whole, again, plan, plan[3] + again)
+        if rest.any():
+            stack.append(frame(rest, chain, waste + lost * again))
+        elif chain[3] < bins(best):
+            best, at = [], chain
+            while at[0] is not None:
+                best.append((at[0], at[1]))
+                at = at[2]
+            slack = (bins(best) - 1) * capacity - total
     return best
 
 
@@ -164,8 +178,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, d
                 cuts = [0, *range(first, n + 1, capacity)]
                 rows += [(d, k, a, z - a, zlib.crc32(view[4 * a : 4 * z])) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
+        c.forget()
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(tidy(work), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,9 +192,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    salts = 64
+    salts = buckets(spark)
     pieces = scratch.cut(token_pieces(docs, vocabulary, capacity, end_id, doc_id, text).withColumn("salt", F.pmod(F.xxhash64("doc_id", "ids_crc32", "piece"), F.lit(salts)).cast("int")))
-    # at most capacity x salts rows: ranks are counted per length and salt, so no length is ranked in one task
+    # at most capacity x salts rows (salts grow with the shuffle partitions): ranks are counted per length and salt, so no length is ranked in one task
     share = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     base = share.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("base"))
     counts = np.zeros(capacity + 1, np.int64)
