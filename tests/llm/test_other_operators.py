@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -30,6 +31,49 @@ def test_language_of_odd_texts(spark, docs):
     assert language_id.predict(docs.limit(0), language_id.fit(docs.limit(0))).count() == 0
 
 
+def test_letters_are_of_letter_categories(spark, docs):
+    signs = ["½ ²", "Ⅷ ١٢", "_ 12", "ª", "º", "é", "中", "\u0301"]
+    want = {i: any(unicodedata.category(c)[0] == "L" for c in x) for i, x in enumerate(signs)}
+    found = language_id.predict(spark.createDataFrame(list(enumerate(signs)), "doc_id long, text string"), language_id.fit(docs))
+    assert {r.doc_id: r.lang_pred != "und" for r in found.collect()} == want
+
+
+def test_tables_shrink_before_a_language_is_left_out():
+    assert language_id.slots_for(4) == language_id.SLOTS and 512 < language_id.slots_for(7000) * 7000 <= language_id.ROOM
+
+
+def plain_mixture(like, penalty=1.0, steps=12):
+    """The shares of one text by plain loops: all languages, then the weakest out while that costs less than keeping it."""
+    def settle(share):
+        for _ in range(steps):
+            new = [0.0] * len(share)
+            for run in like:
+                part = [s * np.exp(max(x - max(run), -60.0)) for s, x in zip(share, run, strict=True)]
+                new = [n + p / max(sum(part), 1e-300) / len(like) for n, p in zip(new, part, strict=True)]
+            moved = max(abs(a - b) for a, b in zip(new, share, strict=True))
+            share = new
+            if moved < 1e-3:
+                break
+        return share, sum(np.log(max(sum(s * np.exp(max(x - max(run), -60.0)) for s, x in zip(share, run, strict=True)), 1e-300)) for run in like)
+
+    share, fit = settle([1 / len(like[0])] * len(like[0]))
+    while sum(s > 0 for s in share) > 1:
+        weakest = min((s, k) for k, s in enumerate(share) if s > 0)[1]
+        less = [0.0 if k == weakest else s for k, s in enumerate(share)]
+        less, low = settle([s / sum(less) for s in less])
+        if fit - low > penalty * np.log(len(like) + 1):
+            break
+        share, fit = less, low
+    return share
+
+
+def test_mixture_by_plain_loops():
+    rng = np.random.default_rng(8)
+    for runs in (1, 3, 20, 60):
+        like = np.log(rng.dirichlet(np.full(5, 0.4), runs) + 1e-4)
+        assert language_id.mixtures(like, np.array([0]))[0] == pytest.approx(plain_mixture(like.tolist()), abs=1e-9)
+
+
 def test_mixture_finds_both_languages():
     like = np.log(np.array([[0.9, 0.05, 0.05]] * 30 + [[0.05, 0.9, 0.05]] * 10 + [[0.9, 0.05, 0.05]] * 5))
     share = language_id.mixtures(like, np.array([0, 40]))
@@ -139,38 +183,51 @@ def test_scores_tell_target_from_background(spark, docs):
     odd = {r.doc_id: r for r in lm_score.score(docs, docs.limit(0)).collect()}
     assert odd[2].n_tokens == 0 and odd[2].score is None and odd[6].n_tokens == 2 and len(odd) == 15
     assert lm_score.score(docs.limit(0), docs).count() == 0
+    assert [(r.n_tokens, r.score) for r in lm_score.score(docs.filter("doc_id in (2, 3, 4)"), docs).collect()] == [(0, None)] * 3
 
 
 def test_lm_losses_by_brute_force(spark, docs):
     """Every word and pair has its own count, and losses are those of conditional probabilities."""
     df = docs.select("doc_id", "text").union(spark.range(60).selectExpr("id + 100", "concat_ws(' ', transform(sequence(1, 3000), x -> concat('v', (x * x + 7 * id) % (9000 + id))))"))
     rows, chosen = df.collect(), {0, 8, 13, *range(100, 120)}
-    models = [(Counter(), Counter(), Counter()) for _ in range(2)]
     texts = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r.text or "")) for r in rows]
-    for r, w in zip(rows, texts, strict=True):
+    grams = [(Counter(w), Counter([None, *w][: len(w)]), Counter(zip([None, *w], w, strict=False))) for w in texts]
+    models = [(Counter(), Counter(), Counter()) for _ in range(2)]
+    for r, own in zip(rows, grams, strict=True):
         for m in models[0 if r.doc_id in chosen else 1 :]:
-            for c, x in zip(m, (w, [None, *w][: len(w)], list(zip([None, *w], w, strict=False))), strict=True):
+            for c, x in zip(m, own, strict=True):
                 c.update(x)
     size = len(models[1][0])
     assert len(models[1][2]) > 100_000
 
-    def loss(m, w):
-        total, each = sum(m[0].values()), []
+    def loss(m, own, w, less):
+        """The row's own counts are taken out where the model has them."""
+        total, each = sum(m[0].values()) - less * len(w), []
         for past, x in zip([None, *w], w, strict=False):
-            alone = (m[0][x] + 0.5) / (total + 0.5 * size)
-            each.append(-np.log(0.7 * m[2][past, x] / m[1][past] + 0.3 * alone if m[1][past] else alone))
+            word, met, seen = (c[k] - less * o[k] for c, o, k in zip((m[0], m[2], m[1]), (own[0], own[2], own[1]), (x, (past, x), past), strict=True))
+            alone = (word + 0.5) / (total + 0.5 * size)
+            each.append(-np.log(0.7 * met / seen + 0.3 * alone if seen else alone))
         return np.mean(each)
 
     got = {r.doc_id: r for r in lm_score.score(df, spark.createDataFrame([(d,) for d in chosen], "doc_id long")).collect()}
     assert len(got) == len(rows)
-    for r, w in zip(rows, texts, strict=True):
+    for r, own, w in zip(rows, grams, texts, strict=True):
         g = got[r.doc_id]
         assert g.n_tokens == len(w)
         if w:
-            a, z = loss(models[0], w), loss(models[1], w)
+            a, z = loss(models[0], own, w, r.doc_id in chosen), loss(models[1], own, w, 1)
             assert (g.target_loss, g.background_loss, g.score) == pytest.approx((a, z, z - a), abs=1e-9), r.doc_id
 
 
+def test_scores_of_repeated_rows(spark):
+    """A row that stands there twice is known from the other one."""
+    rows = [(i, " ".join(f"w{(i * 31 + j * j) % 977}" for j in range(80))) for i in range(30)]
+    once = {r.doc_id: r.background_loss for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    df = spark.createDataFrame([*rows, rows[7]], "doc_id long, text string").selectExpr("*", "1 score", "2 n_tokens", "3 chunk")
+    twice = [r.background_loss for r in lm_score.score(df, spark.createDataFrame([(1,)], "doc_id long")).filter("doc_id = 7").collect()]
+    assert len(twice) == 2 and twice[0] == twice[1] < once[7] - 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 200), (150, 200), (7, 7), (None, 1)] + [(500, 501 + i) for i in range(50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
