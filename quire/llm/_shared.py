@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 _SHIPPED: set[str] = set()
 #: Groups that hold at least one row in so many are hot; there can't be more of them than this, so they are broadcast.
 HOT = 4096
+#: Rows may be blobs of megabytes: row groups are small, so that neither a writer nor a reader holds many of them.
+_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "8"}
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -68,7 +70,7 @@ class Scratch:
         before = self.spark.conf.get(_CLEAN, None)
         self.spark.conf.set(_CLEAN, "true")
         try:
-            df.write.parquet(path)
+            df.write.options(**_ROWS).parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(_CLEAN)

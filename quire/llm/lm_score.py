@@ -57,14 +57,14 @@ def _cuts(key: np.ndarray, low: int, high: int, n: int) -> np.ndarray:
 def _gaps(key: np.ndarray) -> bytes:
     """The first key, and the gaps to the next ones in as many bytes as the widest needs, byte by byte."""
     if len(key) < 2:
-        return key.tobytes()
+        return _zipped(key.tobytes())
     gap = np.diff(key)
     wide = max(1, -(-int(gap.max()).bit_length() // 8))
-    return key[:1].tobytes() + np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
+    return _zipped(key[:1].tobytes() + np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes())
 
 
 def _keys(blob: pa.Scalar, k: int) -> np.ndarray:
-    raw = blob.as_buffer()
+    raw = _unzipped(blob)
     key = np.zeros(k, np.uint64)
     if k > 1:
         wide = (len(raw) - 8) // (k - 1)
@@ -79,14 +79,24 @@ def _own(row: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
     return count[which]
 
 
+def _zipped(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unzipped(blob: pa.Scalar) -> memoryview:
+    raw = memoryview(blob.as_buffer())
+    size = int.from_bytes(raw[:4], "little")
+    return memoryview(pa.decompress(raw[4:], decompressed_size=size, codec="zstd", asbytes=True)) if size else raw[:0]
+
+
 def _short(counts: np.ndarray) -> bytes:
     """A byte for each count; those of 255 and more follow, with their places."""
     far = np.flatnonzero(counts >= 255)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + far.astype(np.uint32).tobytes() + counts[far].astype(np.int64).tobytes()
+    return _zipped(np.minimum(counts, 255).astype(np.uint8).tobytes() + far.astype(np.uint32).tobytes() + counts[far].astype(np.int64).tobytes())
 
 
 def _long(blob: pa.Scalar, k: int) -> np.ndarray:
-    raw = blob.as_buffer()
+    raw = _unzipped(blob)
     far = (len(raw) - k) // 12
     counts = np.frombuffer(raw, np.uint8, k).astype(np.int64)
     counts[np.frombuffer(raw, np.uint32, far, k)] = np.frombuffer(raw, np.int64, far, k + 4 * far)
@@ -116,13 +126,14 @@ def score(docs: DataFrame, target: DataFrame, weight: float = 0.7, doc_id: str =
     marked = base.join(F.broadcast(marks) if size <= 2_000_000 else marks, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", F.coalesce("aim", F.lit(False)).alias("aim"))
 
     def bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = pa.Codec("zstd", compression_level=9)
         chunk = TaskContext.get().partitionId() << 32
         for b in batches:
             aim = np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool)
             data, at = bytes_of(b.column(1))
             for i, j in slices(at, CHUNK):
                 rows = [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), b.column(0)[i:j])]
-                packed = pa.compress(data[at[i] : at[j]].tobytes(), codec="zstd", asbytes=True)
+                packed = zstd.compress(data[at[i] : at[j]].tobytes(), asbytes=True)
                 blobs = [pa.array([x], pa.binary()) for x in ((at[i : j + 1] - at[i]).tobytes(), aim[i:j].tobytes(), packed)]
                 yield pa.RecordBatch.from_arrays(rows + blobs, names=["chunk", "doc_id", "at", "aim", "text"])
                 chunk += 1
