@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import logging
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,6 +39,21 @@ def model(name: str, **settings: object) -> Callable[[], Model] | None:
     return lambda: build(**settings)
 
 
+def chat_endpoint(url: str, name_of_model: str, token: str | None = None, timeout: float = 60.0) -> Model:
+    """A model behind an HTTP endpoint for chat completions; nothing is sent before the first prompt."""
+
+    def answer(prompt: str) -> str:
+        body = json.dumps({"model": name_of_model, "messages": [{"role": "user", "content": prompt}]}).encode()
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+        with urllib.request.urlopen(urllib.request.Request(url, body, head), timeout=timeout) as reply:  # noqa: S310
+            return json.load(reply)["choices"][0]["message"]["content"]
+
+    return answer
+
+
+register_model("endpoint", chat_endpoint)
+
+
 def ask(prompts: DataFrame, column: str, into: str, build: Callable[[], Model] | None = None, at_once: int | None = None) -> DataFrame:
     """Adds into(value, error): the model's answer to each prompt; an error is a value, not a failure.
 
@@ -68,6 +85,8 @@ def glossary_lines(entries: Column, empty: str = "") -> Column:
     return F.when(F.coalesce(F.size(entries), F.lit(0)) > 0, text).otherwise(empty)
 
 
+# The wordings "(No context)", "Glossary term ... may not be used consistently", "[Translation error: ...]",
+# "Issues flagged" and "OK" below are those that stored rows hold.
 def context(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", F.substring(text, 1, CONTEXT_CHARS)).otherwise("(No context)")
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.sources.schema import ENUMS
 
 #: Characters that a chunk aims at; it is at least half and at most twice as long where lines allow.
 TARGET = 1200
@@ -59,21 +60,34 @@ def scan(lines: DataFrame, target: int = TARGET) -> DataFrame:
 
 
 def assemble(scanned: DataFrame) -> DataFrame:
-    """(book, index, raw_text, content_type, page_start, page_end, n_lines, format_map): one row for each chunk."""
-    rows = F.array_sort(F.collect_list(F.struct("page", "line", F.concat("sep", "text").alias("part"), *(["meta"] if "meta" in scanned.columns else []))))
+    """(book, index, raw_text, content_type, page_start, page_end, n_lines, format_map): one row for each chunk.
+
+    All is read off a chunk's lines, which meet once; a book without lines has no rows.
+    """
+    meta = ["meta"] if "meta" in scanned.columns else []
+    rows = F.array_sort(F.collect_list(F.struct("page", "line", F.concat("sep", "text").alias("part"), F.coalesce("content_class", F.lit("prose")).alias("class"), *meta)))
     each = scanned.groupBy("book", F.col("chunk").alias("index")).agg(rows.alias("rows"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count("*").alias("n_lines"))
-    text = T.strip(F.array_join(F.transform("rows", lambda r: r["part"]), ""))
-    extra = [F.transform("rows", lambda r: r["meta"]).alias("format_map")] if "meta" in scanned.columns else []
-    return each.select("book", "index", text.alias("raw_text"), "page_start", "page_end", "n_lines", *extra).join(dominant_class(scanned), ["book", "index"])
+    pick = lambda name: F.transform("rows", lambda r: r[name])
+    extra = [pick("meta").alias("format_map")] if meta else []
+    return each.select("book", "index", T.strip(F.array_join(pick("part"), "")).alias("raw_text"), "page_start", "page_end", "n_lines", *extra, content_type(pick("class")).alias("content_type"))
 
 
-def dominant_class(scanned: DataFrame) -> DataFrame:
-    """(book, index, content_type): the class of most lines; of several the one seen first."""
-    counts = scanned.groupBy("book", F.col("chunk").alias("index"), F.coalesce("content_class", F.lit("prose")).alias("class")).agg(F.count("*").alias("n"), F.min(F.struct("page", "line")).alias("first"))
-    top = counts.groupBy("book", "index").agg(F.max_by("class", F.struct("n", (-F.col("first.page")).alias("p"), (-F.col("first.line")).alias("l"))).alias("class"))
+def content_type(classes: Column) -> Column:
+    """The class of most of a chunk's lines, which are in order; of several the one seen first."""
+    counted = F.transform(F.array_distinct(classes), lambda c: F.struct(F.size(F.filter(classes, lambda x: x == c)).alias("n"), (-F.array_position(classes, c)).alias("first"), c.alias("class")))
+    top = F.array_max(counted)["class"]
     known = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    plain = F.col("class").isin("prose", "heading", "poetry", "quranic_verse", "hadith", "footnote", "numbered_list", "margin_note")
-    return top.select("book", "index", F.when(plain, F.col("class")).otherwise(F.coalesce(F.try_element_at(known, F.col("class")), F.lit("prose"))).alias("content_type"))
+    plain = top.isin(ENUMS["content_type"])
+    return F.when(plain, top).otherwise(F.coalesce(F.try_element_at(known, top), F.lit("prose")))
+
+
+def look_up(lines: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Lines (book, page, line, ...) with what metadata (book, page, ordinal, type, content_class, meta) says of them.
+
+    ordinal counts a page's text lines from 0; a line without metadata has none: it counts as prose.
+    """
+    ordinal = (F.row_number().over(Window.partitionBy("book", "page").orderBy("line")) - 1).cast("int")
+    return lines.withColumn("ordinal", ordinal).join(metadata.select("book", "page", "ordinal", "type", "content_class", "meta"), ["book", "page", "ordinal"], "left").drop("ordinal")
 
 
 def literal_chunks(lines: DataFrame, target: int = TARGET) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -36,3 +36,12 @@ def metadata(lines: DataFrame) -> DataFrame:
     """Classified lines with a struct `meta` of their format, named by page and place among all blocks."""
     line_id = F.format_string("page%d_line%d", F.col("page").cast("int"), F.col("line").cast("int"))
     return lines.withColumn("meta", F.struct(line_id.alias("line_id"), "text", "type", F.col("font_size").cast("double").alias("font_size"), "bold", "italic", "alignment", "rtl", F.col("page").cast("int").alias("page"), "content_class"))
+
+
+def map_format(blocks: DataFrame) -> DataFrame:
+    """Metadata of blocks (book, page, line, kind, text, ...): of text blocks alone, numbered on by ordinal.
+
+    A line_id names a block's place among all blocks, ordinal its place among the text blocks of its page.
+    """
+    text = metadata(classify(blocks.filter("kind = 'text'")))
+    return text.withColumn("ordinal", (F.row_number().over(Window.partitionBy("book", "page").orderBy("line")) - 1).cast("int"))

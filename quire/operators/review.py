@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.stats import percent
+from quire.sources.schema import key
 
 
 def latest(log: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -56,7 +57,18 @@ def decide(flags: DataFrame, decisions: DataFrame) -> DataFrame:
     """Flags with their latest decision; the final value is the one given, else the suggestion."""
     last = latest(decisions, ["flag_id"], F.col("at"), F.col("decision")).select("flag_id", "decision", "final", "apply_to_book")
     joined = flags.join(last, "flag_id", "left")
-    return joined.select("flag_id", "chunk_id", "term", "suggested_translation", F.coalesce("decision", F.lit("pending")).alias("human_decision"), F.when(F.col("decision").isNotNull(), F.coalesce("final", "suggested_translation")).alias("final_value"), F.coalesce(F.col("decision").isin("accepted", "edited") & F.col("apply_to_book"), F.lit(False)).alias("to_glossary"))
+    return joined.select("flag_id", "chunk_id", "term", "suggested_translation", F.coalesce("decision", F.lit("pending")).alias("human_decision"), F.when(F.col("decision").isNotNull(), F.coalesce(F.nullif("final", F.lit("")), "suggested_translation")).alias("final_value"), F.coalesce(F.col("decision").isin("accepted", "edited") & F.col("apply_to_book"), F.lit(False)).alias("to_glossary"))
+
+
+def decided_terms(decided: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows for the glossary: the terms of flags whose decision is applied to the book."""
+    rows = decided.filter("to_glossary").join(chunks.select(F.col("id").alias("chunk_id"), "book"), "chunk_id")
+    return rows.select(key(F.lit("flag"), F.col("flag_id")).alias("id"), F.col("book").alias("book_id"), F.col("term").alias("original_term"), F.col("final_value").alias("translation"), F.lit(True).alias("human_approved"))
+
+
+def glossary_list(terms: DataFrame) -> DataFrame:
+    """(book, id, original_term, translation, human_approved): every glossary row of every book."""
+    return terms.select("book", key(F.col("book"), F.col("term"), F.col("at")).alias("id"), F.col("term").alias("original_term"), "translation", F.col("approved").alias("human_approved"))
 
 
 def flags_of(flags: DataFrame, chunks: DataFrame, pending_only: bool = False) -> DataFrame:

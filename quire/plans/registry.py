@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import stats
 from quire.functions import text as T
-from quire.operators import agents, chunking, layout, review
+from quire.operators import agents, chunking, layout, review, runs
 from quire.sources import documents as D
 from quire.sources import fixtures as X
 from quire.streaming.progress import windowed_counts
@@ -94,9 +94,9 @@ def page_text_nonblank(spark, sf_dir):
     return _lines(spark, sf_dir).groupBy("book", "page").agg(text.alias("text"), F.count("*").alias("n_lines"))
 
 
-@query(rf"""WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<(?:h1|p|li)>.*?</(?:h1|p|li)>')) x, generate_subscripts(regexp_extract_all(html, '(?s)<(?:h1|p|li)>.*?</(?:h1|p|li)>'), 1) - 1 i FROM pages)
-    SELECT page_id, CAST(i AS INTEGER) line_index, regexp_extract(x, '^<(\w+)>', 1) tag, {_STRIP % "regexp_replace(x, '<[^>]*>', '', 'g')"} AS text,
-        CASE WHEN x LIKE '<h1>%' THEN 24.0::DOUBLE ELSE 12.0::DOUBLE END font_size, CASE WHEN x LIKE '<h1>%' THEN 16 ELSE 0 END flags FROM e""")
+@query(rf"""WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<(?:h1|p|li)(?:\s[^>]*)?>.*?</(?:h1|p|li)>')) x, generate_subscripts(regexp_extract_all(html, '(?s)<(?:h1|p|li)(?:\s[^>]*)?>.*?</(?:h1|p|li)>'), 1) - 1 i FROM pages)
+    SELECT page_id, CAST(i AS INTEGER) line_index, regexp_extract(x, '^<(\w+)', 1) tag, {_STRIP % "regexp_replace(x, '<[^>]*>', '', 'g')"} AS text,
+        CASE WHEN x LIKE '<h1%' THEN 24.0::DOUBLE ELSE 12.0::DOUBLE END font_size, CASE WHEN x LIKE '<h1%' THEN 16 ELSE 0 END flags FROM e""")
 def html_blocks(spark, sf_dir):
     return D.html_blocks(D.table(spark, sf_dir, "pages"))
 
@@ -174,11 +174,11 @@ def chunk_neighbours(spark, sf_dir):
     return chunking.neighbours(_chunk_table(spark, sf_dir)).drop("id", "raw_text", "status")
 
 
-@query("""WITH c AS (SELECT * FROM conversations WHERE turn <> 2) SELECT c.conv_id book, c.turn index, coalesce(a.text, '') n_minus_2, coalesce(b.text, '') n_minus_1, coalesce(d.text, '') n_plus_1, coalesce(e.text, '') n_plus_2 FROM c
+@query("""WITH c AS (SELECT * FROM conversations) SELECT c.conv_id book, c.turn index, coalesce(a.text, '') n_minus_2, coalesce(b.text, '') n_minus_1, coalesce(d.text, '') n_plus_1, coalesce(e.text, '') n_plus_2 FROM c
     LEFT JOIN c a ON a.conv_id = c.conv_id AND a.turn = c.turn - 2 LEFT JOIN c b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1
     LEFT JOIN c d ON d.conv_id = c.conv_id AND d.turn = c.turn + 1 LEFT JOIN c e ON e.conv_id = c.conv_id AND e.turn = c.turn + 2""")
 def neighbours_by_index(spark, sf_dir):
-    return chunking.neighbours_by_index(_chunk_table(spark, sf_dir).filter("index <> 2")).drop("id", "raw_text", "status")
+    return chunking.neighbours_by_index(_chunk_table(spark, sf_dir)).drop("id", "raw_text", "status")
 
 
 # ---- model calls ----------------------------------------------------------------------------------------------------
@@ -320,20 +320,21 @@ def test_page_window(spark, sf_dir):
     return review.page_window(counted, F.col("n")).select("book", F.col("page_start").alias("page"))
 
 
-@query(f"WITH {_CHUNK_TABLE} SELECT book, CAST(count(*) AS BIGINT) n_chunks, CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) n_failed, CASE WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'review' END status FROM k WHERE index % 2 = 1 OR book % 2 = 0 GROUP BY book")
+@query(f"WITH {_CHUNK_TABLE} SELECT book, CAST(count(*) AS BIGINT) n_chunks, CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) n_failed, CASE WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'review' END status FROM k GROUP BY book")
 def run_outcome(spark, sf_dir):
-    return review.run_outcome(_chunk_table(spark, sf_dir).filter("index % 2 = 1 or book % 2 = 0"))
+    return review.run_outcome(_chunk_table(spark, sf_dir))
 
 
 # ---- extensions -----------------------------------------------------------------------------------------------------
 
 
-@query("""WITH p AS (SELECT a.vec_id query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) similarity FROM embeddings a, embeddings b WHERE a.vec_id < 5),
+@query("""WITH p AS (SELECT a.vec_id query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) similarity FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) rank FROM p) SELECT * FROM r WHERE rank <= 5""")
 def glossary_semantic(spark, sf_dir):
     terms = D.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = terms.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    rows = terms.join(F.broadcast(asked)).select("query_id", "vec_id", F.round(stats.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+    asked = terms.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    # the stated query set against all rows; broadcast only if it is short
+    rows = terms.crossJoin(F.broadcast(asked) if asked.count() <= 10_000 else asked).select("query_id", "vec_id", F.round(stats.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).filter("rank <= 5")
 
 
@@ -357,3 +358,121 @@ def requeue_changed(spark, sf_dir):
 def new_terms(spark, sf_dir):
     flags = review.flags_of(_flags(spark, sf_dir), _chunk_table(spark, sf_dir))
     return review.new_flags(flags, _terms(spark, sf_dir)).select("book", "term")
+
+
+# ---- whole runs -----------------------------------------------------------------------------------------------------
+
+_GAPS = "(SELECT * FROM (VALUES ('b', 0, 'zero'), ('b', 1, 'one'), ('b', 3, 'three'), ('c', 3, 'other')) t(book, index, raw_text))"
+_BLOCKS = "(SELECT * FROM (VALUES ('b', 0, 0, 'image', CAST(NULL AS STRING)), ('b', 0, 1, 'text', 'Chapter One'), ('b', 0, 2, 'text', 'prose of it.'), ('b', 1, 0, 'text', '* note'), ('b', 1, 1, 'image', CAST(NULL AS STRING)), ('b', 1, 2, 'text', 'END OF IT')) t(book, page, line, kind, text))"
+
+
+@query("SELECT * FROM (VALUES ('b', 0, '', '', 'one', ''), ('b', 1, '', 'zero', '', 'three'), ('b', 3, 'one', '', '', ''), ('c', 3, '', '', '', '')) t(book, index, n_minus_2, n_minus_1, n_plus_1, n_plus_2)")
+def neighbours_of_gaps(spark, sf_dir):
+    return chunking.neighbours_by_index(_inline(spark, f"SELECT * FROM {_GAPS}")).drop("raw_text")
+
+
+@query("SELECT * FROM (VALUES ('b', 'page0_line1', 0, 'heading_1', 'heading'), ('b', 'page0_line2', 1, 'text', 'prose'), ('b', 'page1_line0', 0, 'text', 'footnote'), ('b', 'page1_line2', 1, 'bold', 'prose')) t(book, line_id, ordinal, type, content_class)")
+def format_map_of_blocks(spark, sf_dir):
+    blocks = layout.with_defaults(_inline(spark, f"SELECT * FROM {_BLOCKS}"), "en")
+    return layout.map_format(blocks).select("book", "meta.line_id", "ordinal", "type", "content_class")
+
+
+@query("SELECT * FROM (VALUES ('b', 0, 'Chapter One' || chr(10) || 'prose of it.' || chr(10) || chr(10) || '* note' || chr(10) || 'END OF IT', 'prose', 'page0_line1,page0_line2,,')) t(book, index, raw_text, content_type, line_ids)")
+def chunks_with_metadata(spark, sf_dir):
+    """Only the first page has metadata: the lines of the other are prose."""
+    blocks = layout.with_defaults(_inline(spark, f"SELECT * FROM {_BLOCKS}"), "en")
+    known = layout.map_format(blocks).filter("page = 0")
+    lines = chunking.look_up(blocks.filter("kind = 'text'").select("book", "page", "line", "text"), known)
+    out = chunking.assemble(chunking.scan(lines, 80))
+    ids = F.array_join(F.transform("format_map", lambda m: F.coalesce(m["line_id"], F.lit(""))), ",")
+    return out.select("book", "index", "raw_text", "content_type", ids.alias("line_ids"))
+
+
+@query("SELECT * FROM (VALUES ('a', CAST(2 AS BIGINT), true, 'dark page'), ('b', CAST(1 AS BIGINT), false, '')) t(book, page_count, is_scanned, errors)")
+def extraction_rollup(spark, sf_dir):
+    rows = spark.sql("SELECT * FROM (VALUES ('a', 0, false, null), ('a', 1, true, 'dark page'), ('b', 0, null, null)) t(book, page, used_ocr, error)")
+    return D.extraction(rows).withColumn("errors", F.array_join("errors", "; "))
+
+
+@query("SELECT 'ABC' AS text, 'f' font_name, CAST(12.0 AS DOUBLE) font_size, 0 flags")
+def span_chars(spark, sf_dir):
+    rows = spark.sql("SELECT array(named_struct('text', 'A', 'chars', array(named_struct('c', 'x')), 'font', 'f', 'size', 12D, 'flags', 0), named_struct('text', null, 'chars', array(named_struct('c', 'B'), named_struct('c', 'C')), 'font', 'f', 'size', 12D, 'flags', 0)) spans")
+    return rows.select(D.span_rollup(F.col("spans"), chars=True).alias("r")).select("r.text", "r.font_name", "r.font_size", "r.flags")
+
+
+@query(f"""WITH RECURSIVE {_CHUNKED}, n AS (SELECT book, CAST(max(chunk) + 1 AS INTEGER) n FROM ch GROUP BY book),
+    st AS (SELECT book, CAST(count(*) AS INTEGER) page_count, bool_or(coalesce({_STRIP % "text"}, '') = '') is_scanned FROM pg GROUP BY book)
+    SELECT st.book id, 'extracted' status, coalesce(n, 0) total_chunks, 0 completed_chunks, page_count, is_scanned FROM st LEFT JOIN n USING (book)""")
+def ingest_books(spark, sf_dir):
+    return runs.ingest(D.book_pages(D.table(spark, sf_dir, "documents"))).books.drop("error")
+
+
+@query(f"""WITH RECURSIVE {_CHUNKED} SELECT md5(book || '|' || chunk) id, book book_id, chunk index, 'extracted' status, CAST(count(*) AS INTEGER) n_lines,
+    md5(string_agg('page' || page || '_line' || line || ':' || type || ':' || content_class, ',' ORDER BY ord)) format_md5, 0 retry_count FROM ch GROUP BY book, chunk""")
+def ingest_chunks(spark, sf_dir):
+    parts = F.transform("format_map", lambda m: F.concat_ws(":", m["line_id"], m["type"], m["content_class"]))
+    chunks = runs.ingest(D.book_pages(D.table(spark, sf_dir, "documents"))).chunks
+    return chunks.select("id", "book_id", "index", "status", F.size("format_map").alias("n_lines"), F.md5(F.array_join(parts, ",")).alias("format_md5"), "retry_count")
+
+
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.translate_pending(_chunk_table(spark, sf_dir), review.glossary_map(_terms(spark, sf_dir)))
+
+
+_RUN = f"""{_CHUNK_TABLE}, {_TERMS}, {_LAST}, e AS (SELECT book, string_agg('Glossary term ' || chr(39) || translation || chr(39) || ' may not be used consistently', '; ' ORDER BY term) error FROM gl WHERE NOT contains('{agents.MOCK_ANSWER}', translation) GROUP BY book),
+    run AS (SELECT id, book, index, CASE WHEN raw_text IS NOT NULL THEN '{agents.MOCK_ANSWER}' END translated_text, CASE WHEN raw_text IS NULL THEN 'failed' ELSE 'terminology_reviewed' END status,
+        CASE WHEN raw_text IS NULL THEN 'the chunk has no text' ELSE e.error END error, CASE WHEN raw_text IS NULL THEN 1 ELSE 0 END retry_count FROM k LEFT JOIN e USING (book) WHERE status IN ('extracted', 'failed'))"""
+
+
+@query(f"WITH {_RUN} SELECT id, book, index, translated_text, status, error, retry_count FROM run")
+def translation_run(spark, sf_dir):
+    return _run(spark, sf_dir).select("id", "book", "index", "translated_text", "status", "error", "retry_count")
+
+
+@query(f"WITH {_RUN}, o AS (SELECT book, CAST(count(*) AS BIGINT) n, CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) f FROM run GROUP BY book) SELECT DISTINCT book, coalesce(n, 0) n_chunks, coalesce(f, 0) n_failed, CASE WHEN n = f THEN 'failed' ELSE 'review' END status FROM k LEFT JOIN o USING (book)")
+def run_statuses(spark, sf_dir):
+    return runs.outcomes(_chunk_table(spark, sf_dir).select("book").distinct(), _run(spark, sf_dir))
+
+
+@query(f"WITH {_RUN} SELECT md5(id || '|1') id, id chunk_id, CAST(1.0 AS DOUBLE) score, 'OK' summary, 1 attempt, 0 n_suggestions FROM run WHERE status <> 'failed'")
+def verification_results(spark, sf_dir):
+    return runs.verification_rows(_run(spark, sf_dir)).withColumn("n_suggestions", F.size("suggestions")).drop("suggestions")
+
+
+@query("SELECT md5('1|0') id, 1 chunk_id, 'x' term, 'y' suggested_translation, 'z' rationale, 'pending' human_decision UNION ALL SELECT md5('1|1'), 1, 'w', 'v', '', 'pending'")
+def flag_results(spark, sf_dir):
+    return runs.flag_rows(_inline(spark, X.FLAG_ANSWERS).select("id", agents.parse_flags(F.col("answer")).alias("flags")))
+
+
+@query(f"""WITH {_CHUNK_TABLE}, {_FLAG_TABLE}, {_DECISIONS} SELECT md5('flag|' || f.flag_id) id, k.book book_id, f.term original_term, coalesce(nullif(d.final, ''), f.suggested_translation) translation, true human_approved
+    FROM f JOIN d USING (flag_id) JOIN k ON k.id = f.chunk_id WHERE d.decision IN ('accepted', 'edited') AND d.apply""")
+def decided_to_glossary(spark, sf_dir):
+    return review.decided_terms(decide_flags(spark, sf_dir), _chunk_table(spark, sf_dir))
+
+
+@query(f"WITH {_TERMS} SELECT book, md5(book || '|' || term || '|' || nr) id, term original_term, translation, approved human_approved FROM g")
+def glossary_listing(spark, sf_dir):
+    return review.glossary_list(_terms(spark, sf_dir))
+
+
+@query(f"WITH {_CHUNK_TABLE} SELECT book, CAST(count(*) AS BIGINT) total_chunks, CAST(count(*) FILTER (WHERE status = 'approved') AS BIGINT) completed_chunks, round_even(count(*) FILTER (WHERE status = 'approved') / count(*) * 100, 1) progress_percent FROM k WHERE book = 3 GROUP BY book")
+def book_status(spark, sf_dir):
+    return review.progress(_chunk_table(spark, sf_dir).filter("book = 3"))
+
+
+_NEAR = "c AS (SELECT *, coalesce(lag(text) OVER w, '') b, coalesce(lead(text) OVER w, '') a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
+
+
+@query(rf"""WITH {_LISTED}, {_NEAR} SELECT conv_id book, turn index, md5('Name the faults of the translation; do not translate again. Answer with JSON: {{"has_issues": bool, "issues": [{{"phrase", "suggestion", "reason"}}]}}' || chr(10) || chr(10) || 'Passage:' || chr(10) || text
+    || chr(10) || chr(10) || 'Translation:' || chr(10) || 'T: ' || text || chr(10) || chr(10) || 'Before it:' || chr(10) || b || chr(10) || chr(10) || 'After it:' || chr(10) || a || chr(10) || chr(10) || 'Terms:' || chr(10) || coalesce(lines, '')) prompt_md5 FROM c LEFT JOIN lg ON g = conv_id % 7""")
+def verify_prompt_build(spark, sf_dir):
+    c = F.col
+    prompt = agents.verify_prompt(c("raw_text"), F.concat(F.lit("T: "), "raw_text"), c("n_minus_1"), c("n_plus_1"), c("glossary"))
+    return _with_glossary(spark, sf_dir).select("book", "index", F.md5(prompt).alias("prompt_md5"))
+
+
+@query(rf"""WITH {_LISTED} SELECT conv_id book, turn index, md5('Name the terms that a person should decide on. Answer with a JSON array of {{"term", "category", "suggested_translation", "reasoning"}}, empty if there are none.' || chr(10) || chr(10) || 'Passage:' || chr(10) || text
+    || chr(10) || chr(10) || 'Translation:' || chr(10) || 'T: ' || text || chr(10) || chr(10) || 'Decided:' || chr(10) || coalesce(lines, '')) prompt_md5 FROM conversations LEFT JOIN lg ON g = conv_id % 7""")
+def terms_prompt_build(spark, sf_dir):
+    prompt = agents.terms_prompt(F.col("raw_text"), F.concat(F.lit("T: "), "raw_text"), F.col("glossary"))
+    return _with_glossary(spark, sf_dir).select("book", "index", F.md5(prompt).alias("prompt_md5"))

@@ -30,9 +30,9 @@ def text_lines(pages: DataFrame) -> DataFrame:
 
 def html_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, line_index, tag, text, font_size, flags): h1, p and li elements as text blocks, without inner tags."""
-    found = F.regexp_extract_all("html", F.lit(r"(?s)<(?:h1|p|li)>.*?</(?:h1|p|li)>"), F.lit(0))
+    found = F.regexp_extract_all("html", F.lit(r"(?s)<(?:h1|p|li)(?:\s[^>]*)?>.*?</(?:h1|p|li)>"), F.lit(0))
     rows = pages.select("page_id", F.posexplode(found).alias("line_index", "element"))
-    tag = F.regexp_extract("element", "^<(\\w+)>", 1)
+    tag = F.regexp_extract("element", "^<(\\w+)", 1)
     text = strip(F.regexp_replace("element", "<[^>]*>", ""))
     return rows.select("page_id", "line_index", tag.alias("tag"), text.alias("text"), F.when(tag == "h1", 24.0).otherwise(12.0).alias("font_size"), F.when(tag == "h1", 16).otherwise(0).alias("flags"))
 
@@ -42,10 +42,14 @@ def span_text(text: Column, chars: Column) -> Column:
     return F.coalesce(text, F.array_join(F.transform(chars, lambda c: c["c"]), ""))
 
 
-def span_rollup(spans: Column) -> Column:
-    """A line from its spans: texts joined without a gap, the dominant font, the mean size and the largest flags."""
+def span_rollup(spans: Column, chars: bool = False) -> Column:
+    """A line from its spans: texts joined without a gap, the dominant font, the mean size and the largest flags.
+
+    With chars a span that has no text is read from its characters.
+    """
     pick = lambda name: F.transform(spans, lambda s: s[name])
-    return F.struct(strip(F.array_join(pick("text"), "")).alias("text"), dominant(pick("font")).alias("font_name"), mean_or(pick("size")).alias("font_size"), F.coalesce(F.array_max(pick("flags")), F.lit(0)).alias("flags"))
+    texts = F.transform(spans, lambda s: span_text(s["text"], s["chars"])) if chars else pick("text")
+    return F.struct(strip(F.array_join(texts, "")).alias("text"), dominant(pick("font")).alias("font_name"), mean_or(pick("size")).alias("font_size"), F.coalesce(F.array_max(pick("flags")), F.lit(0)).alias("flags"))
 
 
 def page_blocks(raw: DataFrame) -> DataFrame:
@@ -98,6 +102,38 @@ def pdf_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list[dict
     return files.select("path", "content").mapInPandas(work, "path string, page int, text string, error string")
 
 
+def extraction(pages: DataFrame) -> DataFrame:
+    """(book, page_count, is_scanned, errors) from pages (book, page, used_ocr, error): scanned if any page was."""
+    errors = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("page", "error"))))
+    return pages.groupBy("book").agg(F.count("page").alias("page_count"), F.coalesce(F.bool_or("used_ocr"), F.lit(False)).alias("is_scanned"), F.transform(errors, lambda e: e["error"]).alias("errors"))
+
+
+def recognise(pages: DataFrame, ladder: list[Callable[[bytes], list[dict]]]) -> DataFrame:
+    """(book, page, text, confidence, error): lines of page images, from the first engine of the ladder that works.
+
+    An engine takes an image and gives lines (text, confidence). A page that none can read has one row with the last
+    error; a null image is such a page.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for book, page, image in zip(b["book"], b["page"], b["image"], strict=True):
+                error = "no engine"
+                for engine in ladder:
+                    try:
+                        rows += [(book, page, x["text"], float(x["confidence"]), None) for x in engine(image)]
+                        break
+                    except Exception as e:  # noqa: BLE001
+                        error = str(e) or type(e).__name__
+                else:
+                    rows.append((book, page, None, None, error))
+            yield pd.DataFrame(rows, columns=["book", "page", "text", "confidence", "error"]).astype({"page": "Int32"})
+
+    kind = dict(pages.dtypes)["book"]
+    return pages.select("book", F.col("page").cast("int").alias("page"), "image").mapInPandas(work, f"book {kind}, page int, text string, confidence double, error string")
+
+
 def upload_name(name: Column, unique: Column) -> Column:
     """A stored file's name: a unique prefix and the base name; null unless it is a PDF."""
     return F.when(F.lower(name).endswith(".pdf"), F.concat(unique, F.lit("_"), F.regexp_extract(name, r"([^/\\]+)$", 1)))

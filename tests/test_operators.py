@@ -70,13 +70,13 @@ def test_every_line_is_in_one_chunk(spark):
 
 def test_dominant_class_ties_go_to_the_first(spark):
     rows = [("b", 0, i, "t", "text", c) for i, c in enumerate(["heading", "prose", "prose", "heading"])]
-    df = spark.createDataFrame(rows, "book string, page int, line int, text string, type string, content_class string").withColumn("chunk", F.lit(0))
-    assert chunking.dominant_class(df).first().content_type == "heading"
+    df = spark.createDataFrame(rows, "book string, page int, line int, text string, type string, content_class string").withColumn("chunk", F.lit(0)).withColumn("sep", F.lit(""))
+    assert chunking.assemble(df).first().content_type == "heading"
 
 
 def test_classes_that_stand_for_others(spark):
-    df = spark.createDataFrame([("b", 0, 0, "verse", 0), ("b", 0, 1, None, 1), ("b", 0, 2, "odd", 2)], "book string, page int, line int, content_class string, chunk int")
-    assert [r.content_type for r in chunking.dominant_class(df).orderBy("index").collect()] == ["quranic_verse", "prose", "prose"]
+    df = spark.createDataFrame([("b", 0, 0, "verse", 0), ("b", 0, 1, None, 1), ("b", 0, 2, "odd", 2)], "book string, page int, line int, content_class string, chunk int").selectExpr("*", "'' sep", "'t' text")
+    assert [r.content_type for r in chunking.assemble(df).orderBy("index").collect()] == ["quranic_verse", "prose", "prose"]
 
 
 def test_span_defaults(spark):
