@@ -1,10 +1,11 @@
 """Chat formatting in budgeted windows, in DataFrame functions alone.
 
-Prefix sums of the turns' tokens choose the spans: a turn belongs to the block of `room` tokens in which it starts,
-and the one turn that runs over the block's end has a window to itself, so a window holds more than its room only if
-a single turn does. Windows are cut between turns. Each begins with the conversation's system turn and as many of the
-turns before it as fit into `history` tokens; these are repeats, and their texts are masked. An assistant turn is a
-target in one window, its own.
+A window has a budget of tokens, which its own turns, the repeated system turn and the repeated history share: history
+may take `history` of it, the system turn what it needs, and the rest is the room for the window's own turns. Prefix
+sums of the turns' tokens choose the spans: a turn belongs to the block of `room` tokens in which it starts, and the
+one turn that runs over the block's end has a window to itself. Windows are cut between turns, so only a turn that is
+too long alone makes a window that exceeds the budget, and that window has no history unless there is room for it.
+An assistant turn is a target in one window, its own; repeats are masked.
 
 The template is <|turn|>role\\ntext<|end|>\\n. Control strings inside a text or role get an escape sign behind their
 first character, and the sign itself is escaped, so every text can be read back as it was.
@@ -44,17 +45,18 @@ def tokens(text: Column) -> Column:
     return (F.coalesce(F.regexp_count(text, F.lit(r"\p{L}{1,6}|\p{N}{1,3}|[^\p{L}\p{N}\s]{1,3}|\n")), F.lit(0)) + 4).cast("long")
 
 
-def windows(turns: DataFrame, room: int = 384, history: int = 96, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def windows(turns: DataFrame, budget: int = 480, history: int = 96, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, window, text, loss, n_turns, n_repeats, n_tokens): the formatted windows of every conversation.
 
     loss: (start, length) of each target in the window's text, in code points. n_repeats: how many turns at its begin
     are repeats (the system turn and history). A null text or role counts as empty; a null turn comes first; rows
     with the same turn are ordered by role and text and are turns each; rows with a null conv_id form one conversation;
-    a conversation's system turn is its first row of that role, if it has one. history must be under room. An empty
-    table gives no windows; other columns are dropped.
+    a conversation's system turn is its first row of that role, if it has one. A system turn of more than half of the
+    budget is not repeated: it stands in its own window alone, whole. history must be under half of the budget. An
+    empty table gives no windows; other columns are dropped.
     """
-    if history > room:
-        raise ValueError("history must not be more than room")
+    if not 0 <= history < budget / 2:
+        raise ValueError("history must be under half of the budget")
     t = turns.select(turns[conv_id].alias("conv_id"), turns[turn].cast("long").alias("turn"), F.coalesce(turns[role].cast("string"), F.lit("")).alias("role"), F.coalesce(turns[text].cast("string"), F.lit("")).alias("text"))
     t = t.withColumn("size", tokens(F.col("text"))).withColumn("segment", F.floor(F.coalesce("turn", F.lit(-(2**62))) / SEGMENT))
     # prefix sums in two steps: a long conversation is summed by segments first
@@ -62,16 +64,21 @@ def windows(turns: DataFrame, room: int = 384, history: int = 96, conv_id: str =
     by = Window.partitionBy("conv_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy("conv_id")
     base = sums.select(F.col("conv_id").alias("c"), F.col("segment").alias("s"), F.coalesce(F.sum("sum").over(by), F.lit(0)).alias("base"), F.coalesce(F.sum("rows").over(by), F.lit(0)).alias("base_rows"), F.min("system").over(all_).alias("system"))
+    # a system turn that would leave less than half of the budget stays where it is
+    base = base.withColumn("system", F.when(F.col("system.size") <= budget / 2, F.col("system")))
+    base = base.withColumn("room", F.lit(budget - history) - F.coalesce("system.size", F.lit(0)))
     t = t.join(base, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s"))).drop("c", "s")
     inside = Window.partitionBy("conv_id", "segment").orderBy("turn", "role", "text")
     t = t.withColumn("end", F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.col("base_rows") + F.row_number().over(inside))
-    t = t.withColumn("start", F.col("end") - F.col("size")).withColumn("block", F.floor(F.col("start") / room).cast("long"))
-    t = t.withColumn("over", ((F.col("end") > (F.col("block") + 1) * room) & (F.col("start") > F.col("block") * room)).cast("int")).withColumn("key", F.col("block") * 2 + F.col("over"))
+    t = t.withColumn("start", F.col("end") - F.col("size")).withColumn("block", F.floor(F.col("start") / F.col("room")).cast("long"))
+    t = t.withColumn("over", ((F.col("end") > (F.col("block") + 1) * F.col("room")) & (F.col("start") > F.col("block") * F.col("room"))).cast("int")).withColumn("key", F.col("block") * 2 + F.col("over"))
     own = t.select("conv_id", "key", "at", "turn", "role", "text", "size", "start", F.lit(False).alias("repeat"), "system")
-    heads = own.groupBy("conv_id", "key").agg(F.min("start").alias("first"))
-    # history: at most `history` tokens before a window start in its own block or the one before
-    later = heads.select(F.col("conv_id").alias("c"), "key", "first", F.explode(F.array(F.floor(F.col("first") / room), F.floor(F.col("first") / room) - 1)).alias("b"))
-    past = t.join(later.withColumnRenamed("key", "k2"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).filter((F.col("end") <= F.col("first")) & (F.col("start") >= F.col("first") - history))
+    heads = t.groupBy("conv_id", "key").agg(F.min("start").alias("first"), F.sum("size").alias("own"), F.first("room").alias("room"))
+    # history: at most `history` tokens, and what the room leaves if one turn fills it, start in the block before or the window's own
+    back = F.least(F.lit(history), F.greatest(F.lit(0), F.col("room") + history - F.col("own")))
+    block = F.floor(F.col("first") / F.col("room"))
+    later = heads.select(F.col("conv_id").alias("c"), "key", "first", back.alias("back"), F.explode(F.array(block, block - 1)).alias("b"))
+    past = t.join(later.withColumnRenamed("key", "k2"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).filter((F.col("end") <= F.col("first")) & (F.col("start") >= F.col("first") - F.col("back")))
     past = past.filter(F.col("role") != "system").select("conv_id", F.col("k2").alias("key"), "at", "turn", "role", "text", "size", "start", F.lit(True).alias("repeat"), "system")
     rows = own.union(past).withColumn("line", F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END + "\n")))
     loss = F.when((F.col("role") == "assistant") & ~F.col("repeat"), F.length(escape(F.col("text"))))

@@ -105,15 +105,18 @@ ORACLES: dict[str, str] = {
     "op7_chat": r"""
         WITH t0 AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations
             UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-        t1 AS (SELECT *, 4 + len(regexp_extract_all(t, '\p{L}{1,6}|\p{N}{1,3}|[^\p{L}\p{N}\s]{1,3}|\n')) size,
-            length(t) + length(t) - length(replace(t, '␛', '')) + 2 * len(regexp_extract_all(t, '<\||</?s>|\[/?INST\]|<</?SYS>')) + length(r) + 17 chars FROM t0),
+        ctl AS (SELECT list(c || x) l FROM (VALUES ('<'), ('[')) a(c), (VALUES ('|'), ('s>'), ('/s>'), ('INST]'), ('/INST]'), ('SYS>'), ('/SYS>'), ('<SYS>'), ('</SYS>')) b(x)),
+        t1 AS (SELECT conv_id, turn, r, t, 4 + len(regexp_extract_all(t, '\p{L}{1,6}|\p{N}{1,3}|[^\p{L}\p{N}\s]{1,3}|\n')) size,
+            length(t) + length(t) - length(replace(t, '␛', '')) + 2 * list_sum(list_transform(l, lambda x: (length(t) - length(replace(t, x, ''))) // length(x)))
+            + length(r) + length(r) - length(replace(r, '␛', '')) + length(r) - length(replace(r, chr(10), '')) + 2 * list_sum(list_transform(l, lambda x: (length(r) - length(replace(r, x, ''))) // length(x))) + 17 chars FROM t0, ctl),
         t2 AS (SELECT *, sum(size) OVER w e, row_number() OVER w a FROM t1 WINDOW w AS (PARTITION BY conv_id ORDER BY turn, r, t ROWS UNBOUNDED PRECEDING)),
-        t3 AS (SELECT *, e - size s, CAST((e - size) // 384 AS BIGINT) b FROM t2),
-        t4 AS (SELECT *, 2 * b + CASE WHEN e > 384 * (b + 1) AND s > 384 * b THEN 1 ELSE 0 END k FROM t3),
-        win AS (SELECT conv_id, k, min(s) f, min(CASE WHEN r = 'system' THEN a END) own FROM t4 GROUP BY ALL),
-        past AS (SELECT t4.conv_id, sum(chars) c FROM win JOIN t4 ON t4.conv_id = win.conv_id AND t4.e <= f AND t4.s >= f - 96 AND r <> 'system' GROUP BY ALL),
-        sys AS (SELECT conv_id, arg_min(chars, a) c, min(a) a FROM t4 WHERE r = 'system' GROUP BY ALL),
-        lead AS (SELECT conv_id, sum(c) c FROM win JOIN sys USING (conv_id) WHERE k > 0 AND own IS DISTINCT FROM a GROUP BY ALL)
+        s0 AS (SELECT conv_id, arg_min(chars, a) c, arg_min(size, a) z, min(a) a FROM t2 WHERE r = 'system' GROUP BY ALL),
+        sys AS (SELECT * FROM s0 WHERE z <= 240),
+        t3 AS (SELECT t2.*, e - size s, 384 - coalesce(z, 0) room FROM t2 LEFT JOIN sys USING (conv_id)),
+        t4 AS (SELECT *, 2 * (s // room) + CASE WHEN e > room * (s // room + 1) AND s > room * (s // room) THEN 1 ELSE 0 END k FROM t3),
+        win AS (SELECT conv_id, k, min(s) f, min(CASE WHEN r = 'system' THEN a END) own, least(96, greatest(0, any_value(room) + 96 - sum(size))) back FROM t4 GROUP BY ALL),
+        past AS (SELECT t4.conv_id, sum(chars) c FROM win JOIN t4 ON t4.conv_id = win.conv_id AND t4.e <= f AND t4.s >= f - back AND r <> 'system' GROUP BY ALL),
+        lead AS (SELECT conv_id, sum(c) c FROM win JOIN sys USING (conv_id) WHERE win.k > 0 AND own IS DISTINCT FROM a GROUP BY ALL)
         SELECT conv_id, CAST(count(*) AS BIGINT) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY a)) turns_sha256,
             CAST(coalesce(sum(CASE WHEN r = 'assistant' THEN length(t) END), 0) AS BIGINT) loss_chars,
             sha256(coalesce(string_agg(CASE WHEN r = 'assistant' THEN t END, '' ORDER BY a), '')) loss_sha256,

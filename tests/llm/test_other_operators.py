@@ -169,11 +169,34 @@ def test_chat_reads_back(spark):
         learned = "".join(x for _, r, x in turns if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(text.encode()).hexdigest())
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
-    assert made.filter("n_tokens - 96 > 384 + 60 and n_turns - n_repeats > 1").count() == 0
+    assert made.filter("n_tokens > 480 and n_turns - n_repeats > 1").count() == 0
     assert made.filter("conv_id = 1 and not text like '<|turn|>system%'").count() == 0
     assert chat.windows(df.limit(0)).count() == 0
 
 
+def test_windows_keep_their_budget(spark):
+    """System turn, history and own turns share the budget; only a turn that is too long alone exceeds it."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for c, system in enumerate((0, 30, 200, 236, 237, 5000)):
+        rows += [(c, 0, "system", "x " * system)] if system else []
+        rows += [(c, 1 + i, ("user", "assistant")[i % 2], "y " * int(rng.integers(0, 90 if i % 9 else 700))) for i in range(60)]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    assert made.filter("n_tokens > 480 and n_turns - n_repeats > 1").count() == 0
+    assert made.filter("n_turns - n_repeats > 1 and n_repeats > 1").count() > 10
+    size = lambda n: n + 4
+    for r in made.filter("n_tokens > 480").collect():
+        assert size(r.text.split("<|turn|>")[-1].count("y ") or 5000) + (size((0, 30, 200, 236, 0, 0)[r.conv_id]) if r.n_repeats else 0) > 480
+    # the system turn leads every window where it fits, and none but its own where it doesn't
+    for c, leads in enumerate((False, True, True, True, False, False)):
+        later = made.filter(f"conv_id = {c} and window > 0")
+        assert later.count() > 3 and later.filter("text like '<|turn|>system%'").count() == (later.count() if leads else 0)
+    targets = made.selectExpr("conv_id", "explode(transform(loss, s -> substr(text, int(s.start) + 1, int(s.length)))) t").groupBy("conv_id").agg(F.count("*").alias("n")).collect()
+    assert {r.n for r in targets} == {30}
+    with pytest.raises(ValueError):
+        chat.windows(made, 100, 50)
+
+
 def test_scores_tell_target_from_background(spark, docs):
     rows = [(i, ("alpha beta gamma " if i % 2 else "one two three ") * 20) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
