@@ -4,6 +4,7 @@ import hashlib
 import re
 import unicodedata
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -91,14 +92,52 @@ def test_url_parts_and_listed_rules(spark):
     assert url_rules.judge(df.limit(0), labelled).count() == 0
 
 
+def brute_rules(rows, support, lift, width):
+    """Every combination of the tokens that stand in some row, counted one by one."""
+    rows = [(set(has), bad) for has, bad in rows]
+    base = sum(bad for _, bad in rows) / len(rows)
+    where = {t: frozenset(i for i, (has, _) in enumerate(rows) if t in has) for has, _ in rows for t in has}
+    least = max(support * len(rows), url_rules.ROWS)
+    items = {t: at for t, at in where.items() if len(at) >= least and t == min(u for u in where if where[u] == at)}
+    found = {}
+    for has, _ in rows:
+        mine = sorted(has & items.keys())
+        for size in range(1, len(mine) + 1):
+            for few in combinations(mine, size):
+                at = frozenset.intersection(*(items[t] for t in few))
+                n, bad = len(at), sum(rows[i][1] for i in at)
+                if n >= least and bad >= least:
+                    share, z = bad / n, width**2
+                    low = (share + z / (2 * n) - width * (share * (1 - share) / n + z / (4 * n * n)) ** 0.5) / (1 + z / n)
+                    if low >= lift * base:
+                        found[few] = (n, bad)
+    sure = {few: bad / n for few, (n, bad) in found.items()}
+    kept = [few for few in found if not any(set(p) < set(few) and sure[p] >= sure[few] for p in found)]
+    return {(tuple(sorted(t for i in few for t in where if where[t] == items[i])), *found[few]) for few in kept}
+
+
 def test_mined_rules_by_brute_force(spark):
-    rows = [(f"http://{h}.org/{p}/{i}", h == "bad" and p == "x") for i in range(40) for h in ("bad", "good") for p in ("x", "y")]
+    rng = np.random.default_rng(6)
+    urls = ["http://{}.{}/{}?{}=1".format(*(rng.choice(x) for x in (["a", "b-c", "www.d"], ["org", "net"], ["x/y", "x", "z/9", "en/y/q"], ["p", "q"]))) for _ in range(600)]
+    rows = [(u, bool(rng.random() < 0.1 + 0.6 * ("net" in u and "/y" in u) + 0.4 * ("b-c" in u and "q=" in u))) for u in urls] + [(None, True), ("http://a.org/", None)]
     df = spark.createDataFrame(rows, "url string, bad boolean")
-    rules = url_rules.mine(df, 0.05, 0.9)
-    assert rules.count() > 0 and all("path:x" in r.tokens and r.confidence == 1.0 for r in rules.collect())
-    judged = url_rules.judge(df.withColumn("page_id", F.monotonically_increasing_id()), df, (), 0.05, 0.9)
-    assert judged.filter("verdict = 'block'").count() == 40
-    assert judged.filter("verdict = 'block' and not (host = 'bad.org' and path like '/x/%')").count() == 0
+    has = {r.url: r.has for r in df.select("url", url_rules.tokens(F.col("url")).alias("has")).collect()}
+    for support, lift, width in ((0.02, 1.5, 2.0), (0.05, 1.0, 0.0), (0.02, 1.2, 3.0)):
+        rules = url_rules.mine(df, support, lift, width)
+        want = brute_rules([(has[u], bad) for u, bad in rows if u and bad is not None], support, lift, width)
+        assert {(tuple(r.tokens), r.n, r.n_bad) for r in rules.collect()} == want and len(want) > 1
+    surest = {u: max((b / n for t, n, b in want if set(t) <= set(has[u])), default=None) for u in has if u}
+    judged = url_rules.judge(df.selectExpr("1 page_id", "url", "2 rule", "3 confidence"), df, (), support, lift, width).select("verdict", "confidence").collect()
+    assert sorted(r.confidence or 0 for r in judged) == pytest.approx(sorted(surest[u] or 0 if u else 0 for u, _ in rows))
+    assert {(r.verdict, r.confidence is None) for r in judged} == {("block", False), ("allow", True)}
+
+
+def test_labels_that_dont_depend_on_the_url_make_no_rules(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"http://{h}.org/{p}", bool(rng.random() < 0.25)) for h in "abcdefgh" for p in "uvwxyz" for _ in range(40)]
+    assert url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean")).count() == 0
+    for bad in (True, False):
+        assert url_rules.mine(spark.createDataFrame([(u, bad) for u, _ in rows], "url string, bad boolean")).count() == 0
 
 
 def test_rules_of_common_tokens_in_long_urls(spark):
@@ -106,8 +145,9 @@ def test_rules_of_common_tokens_in_long_urls(spark):
     tail = "/".join(f"r{c}" for c in "abcdefghi")
     kinds = [("p/q/" + tail, True, 30), ("p/" + tail, False, 15), ("q/" + tail, False, 15), ("p", False, 60), ("q", False, 60)]
     df = spark.createDataFrame([(f"http://h.org/{x}", bad) for x, bad, n in kinds for _ in range(n)], "url string, bad boolean")
-    rules = url_rules.mine(df, 0.05, 0.9).collect()
-    assert [(r.tokens, r.confidence) for r in rules] == [(["path:p", "path:q"], 1.0)]
+    assert [(r.tokens, r.confidence) for r in url_rules.mine(df, 0.05, 4.0).collect()] == [(["path:p", "path:q"], 1.0)]
+    long = spark.createDataFrame([("http://h.org/" + "p/q/" * 50_000, 1)], "url string, page_id int")
+    assert url_rules.judge(long, df, (), 0.05, 4.0).first().verdict == "block"
 
 
 def test_top_k_against_brute_force(spark):
