@@ -111,7 +111,7 @@ def least_bins(counts: np.ndarray, capacity: int) -> int:
     return max(best, -(-total // capacity))
 
 
-def complete_bins(counts: np.ndarray, capacity: int, steps: int = 200_000) -> Plan:
+def complete_bins(counts: np.ndarray, capacity: int, steps: int = 50_000) -> Plan:
     """Bin completion: branch over all undominated fillings around the largest piece left, depth first.
 
     A branch ends when the waste so far leaves no way to beat the incumbent. The search ends when the incumbent meets

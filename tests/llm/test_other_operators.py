@@ -165,6 +165,42 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_cover_tree_nests_covers_and_separates():
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(2500, 6)) * 50 + c for c in rng.normal(size=(4, 6)) * 4000] + [np.zeros((300, 6))])
+    points, levels, parents, owner = topk.cover_tree(x)
+    assert len(points) > 50 and len(set(levels.tolist())) > 3
+    gap = lambda a, b: np.sqrt(((a - b) ** 2).sum(axis=-1))
+    for k in range(1, len(points)):
+        assert levels[parents[k]] > levels[k] and gap(x[points[k]], x[points[parents[k]]]) < 2.0 ** (levels[k] + 1)
+        assert gap(x[points[:k]], x[points[k]]).min() >= 2.0 ** levels[k]
+    assert all(gap(x[i], x[points[owner[i]]]) == pytest.approx(gap(x[points], x[i]).min()) for i in range(0, len(x), 37))
+    root, stack = topk.nodes(x, (points, levels, parents, owner)), []
+    stack.append(root)
+    while stack:
+        node = stack.pop()
+        assert gap(x[node.rows], node.centre).max(initial=0) <= node.radius + 1e-9
+        if node.children:
+            assert sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
+            assert any((c.centre == node.centre).all() for c in node.children)
+        stack += node.children
+    assert sorted(root.rows.tolist()) == list(range(len(x)))
+
+
+def test_top_k_with_repeated_ids_and_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "ASKED", 2)
+    rows = [(i % 600, [float(v) for v in rng.integers(-3, 4, 4)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 id", "2 part", "3 score")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df).collect()}
+    v = [(i, np.floor(1024 * np.array(e)).astype(int)) for i, e in rows]
+    for q in range(0, 600, 100):
+        one = min((e.tolist() for i, e in v if i == q))
+        want = sorted((-int(np.dot(one, e)), i) for i, e in v if i != q)[:10]
+        assert [got[q, k + 1] for k in range(10)] == [(i, -s) for s, i in want]
+
+
 def test_dual_tree_keeps_all_ties():
     x = np.ones((500, 4), np.int64)
     best = topk.dual_search(x[:2], np.array([0, 1]), x, np.arange(500), 3, np.full(2, -1e18))
