@@ -19,11 +19,13 @@ POETRY_STARTS = ["-", "—", "˖"]
 BOLD_FLAG, ITALIC_FLAG = 16, 2
 DEFAULT_SIZE, DEFAULT_WIDTH = 12.0, 595.0
 ITEM_START = r"(?U)^\(?\d+[).۔]"
+#: What Unicode calls white space, all 25 of them.
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def is_blank(text: Column) -> Column:
@@ -44,7 +46,7 @@ def starts_item(text: Column) -> Column:
 
 
 def ends_sentence(text: Column) -> Column:
-    return F.substring(F.regexp_replace(text, r"(?U)\s+$", ""), -1, 1).isin(SENTENCE_ENDS)
+    return F.substring(F.rtrim(text, F.lit(SPACE)), -1, 1).isin(SENTENCE_ENDS)
 
 
 def is_section_break(text: Column) -> Column:
@@ -66,19 +68,19 @@ def heading_level(text: Column, size: Column, bold: Column) -> Column:
 
 
 def content_class(text: Column, level: Column) -> Column:
-    """The first class that fits."""
-    lowered = F.lower(text)
-    hadith, poetry = F.lit(False), text.rlike(r"(?U)\s{4,}")
+    """The first class that fits. Plain searches come before the patterns that only their finds can match."""
+    verse = F.contains(text, F.lit("۝")) | (F.contains(text, F.lit(":")) & text.rlike(r"(?U)\d\s*:\s*\d")) | (F.contains(text, F.lit("﴿")) & text.rlike("﴿.*﴾"))
+    hadith, poetry = F.lit(False), F.lit(False)
     for w in HADITH_WORDS:
-        hadith |= lowered.contains(w)
+        hadith |= F.contains(F.lower(text) if w.isascii() else text, F.lit(w))
     for w in POETRY_STARTS:
         poetry |= text.startswith(w)
+    poetry |= text.rlike(r"(?U)\s{4}")
     return (
         F.when(level > 0, "heading")
         .when(text.rlike(r"^[*†‡]") | text.rlike(ITEM_START), "footnote")
-        .when(text.rlike(r"(?U)۝|\d+\s*:\s*\d+|﴿.*﴾"), "quranic_verse")
+        .when(verse, "quranic_verse")
         .when(hadith, "hadith")
-        .when(text.rlike(ITEM_START), "numbered_list")  # never reached: footnote takes these
         .when(poetry, "poetry")
         .otherwise("prose")
     )

@@ -1,62 +1,162 @@
 """Ordered segmentation of a book's lines into chunks.
 
-Where to cut depends on the lines before, so the lines are sorted within partitions and scanned once; the scan keeps
-one line's state per book, whatever its length, and passes the rows on with their chunk's number. All else is
-expressions and grouping by (book, chunk).
+Where to cut depends on all lines before, but only through the open chunk's size and one flag. So a book is scanned in
+blocks of pages at the same time, from every state that a block can be entered in, and the blocks are then linked. All
+else is expressions and grouping by (book, chunk).
 """
 
 from __future__ import annotations
 
+import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.sources.schema import ENUMS
 
+register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
 #: Characters that a chunk aims at; it is at least half and at most twice as long where lines allow.
 TARGET = 1200
+#: Pages of a book that one task scans together.
+BLOCK = 128
 # Classes that stand for another one as a chunk's content type.
 ALIASES = {"chapter_heading": "heading", "section_heading": "heading", "heading_1": "heading", "heading_2": "heading", "verse": "quranic_verse"}
 
 
+def after(size: int, ended: bool, n: int, starts: bool, marks: bool, low: int, target: int) -> tuple[int, bool]:
+    """Line breaks before a line of n characters that follows a chunk of that size, and whether the chunk is cut there."""
+    paragraph = size > 0 and (ended or starts)
+    sep = 2 if paragraph else 1
+    return sep, size > 0 and (size + sep + n > 2 * target or (marks and size > low) or (paragraph and size >= target))
+
+
+class Exits:
+    """Where a block leads from every state that it can be entered in: (size, whether the line before ends a sentence).
+
+    State k is size k // 2 and ended k % 2. A chunk beyond the upper bound is cut by any next line, so sizes stop there.
+    States that have met, as they do at a cut that they share, go on as one: they are looked for every eight lines.
+    """
+
+    def __init__(self, target: int) -> None:
+        self.low, self.target, self.high = target // 2, target, target * 2
+        every = np.arange(2 * (self.high + 1))
+        self.sizes, self.ended = every // 2, every % 2 == 1
+        self.cuts = np.zeros(len(every), np.int64)
+        self.met = every.copy()
+        self.total = np.zeros(len(every), np.int64)
+        self.seen = 0
+
+    def line(self, n: int, ends: bool, starts: bool, marks: bool) -> None:
+        if len(self.sizes) == 1:
+            size = int(self.sizes[0])
+            sep, cut = after(size, bool(self.ended[0]), n, starts, marks, self.low, self.target)
+            self.sizes[0] = min(n if cut or size == 0 else size + sep + n, self.high)
+            self.cuts[0] += cut
+            self.ended = np.array([ends])
+            return
+        paragraph = (self.sizes > 0) & (self.ended | starts)
+        grown = self.sizes + np.where(paragraph, 2, 1) + n
+        cut = (self.sizes > 0) & ((grown > self.high) | (marks & (self.sizes > self.low)) | (paragraph & (self.sizes >= self.target)))
+        self.sizes = np.minimum(np.where(cut | (self.sizes == 0), n, grown), self.high)
+        self.cuts += cut
+        if self.seen % 8 == 0:
+            self.total += self.cuts[self.met]
+            self.sizes, back = np.unique(self.sizes, return_inverse=True)
+            self.met, self.cuts = back[self.met], np.zeros(len(self.sizes), np.int64)
+        self.seen += 1
+        self.ended = np.full(len(self.sizes), ends)
+
+    def row(self) -> dict[str, list[int]]:
+        """Runs of entry states with the same size and cuts at the end."""
+        size, cuts = self.sizes[self.met], self.total + self.cuts[self.met]
+        first = np.flatnonzero(np.r_[True, (np.diff(size) != 0) | (np.diff(cuts) != 0)])
+        return {"first": first.tolist(), "size": size[first].tolist(), "cuts": cuts[first].tolist()}
+
+
 def scan(lines: DataFrame, target: int = TARGET) -> DataFrame:
-    """Adds chunk (from 0 in each book) and sep, what stands between a line and the one before it in its chunk."""
-    low, high = target // 2, target * 2
+    """Adds chunk (from 0 in each book) and sep, what stands between a line and the one before it in its chunk.
+
+    A book is dealt as blocks of BLOCK pages. A first pass finds for each block where it leads from every state of the
+    scan; those rows, one a block, are followed through a book in order and give the state that each block is entered
+    in; a second pass over the same shuffled lines cuts. A line without text counts as empty.
+    """
+    low = target // 2
     marked = lines.withColumns({
-        "n_chars": F.length("text"),
-        "ends": T.ends_sentence(F.col("text")),
-        "starts": T.starts_item(F.col("text")),
-        "breaks": T.is_section_break(F.col("text")),
-        "heads": F.coalesce(F.col("type").startswith("heading_"), F.lit(False)),
+        "key": F.struct(F.col("book").alias("book"), F.floor(F.col("page") / BLOCK).alias("block")),
+        "n_chars": F.coalesce(F.length("text"), F.lit(0)),
+        "ends": F.coalesce(T.ends_sentence(F.col("text")), F.lit(False)),
+        "starts": F.coalesce(T.starts_item(F.col("text")), F.lit(False)),
+        "marks": F.coalesce(T.is_section_break(F.col("text")), F.lit(False)) | F.coalesce(F.col("type").startswith("heading_"), F.lit(False)),
     })
     names = marked.columns
+    flags = ("n_chars", "ends", "starts", "marks")
+    kind = lines.schema["book"].dataType.simpleString()
+
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, found, ended = None, None, False
+        for b in batches:
+            out = []
+            columns = (b.column(names.index(c)).to_pylist() for c in ("key", *flags))
+            for k, n, ends, starts, marks in zip(*columns, strict=True):
+                if k != key:
+                    if found:
+                        out.append({**key, **found.row(), "ended": ended})
+                    key, found = k, Exits(target)
+                found.line(n, ends, starts, marks)
+                ended = ends
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=exit_schema(b))
+        if found:
+            yield pa.RecordBatch.from_pylist([{**key, **found.row(), "ended": ended}], schema=exit_schema(b))
+
+    def exit_schema(b: pa.RecordBatch) -> pa.Schema:
+        many = pa.list_(pa.int64())
+        return pa.schema([("book", b.schema.field("book").type), ("block", pa.int64()), ("first", many), ("size", many), ("cuts", many), ("ended", pa.bool_())])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book: object = None
-        size, chunk, ended, fresh = 0, 0, False, True
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, fresh, state, chunk = None, True, 0, 0
+        for b in batches:
+            states, chunks = [], []
+            for r in b.to_pylist():
+                if fresh or r["book"] != book:
+                    book, fresh, state, chunk = r["book"], False, 0, 0
+                states.append(state)
+                chunks.append(chunk)
+                run = bisect_right(r["first"], state) - 1
+                state, chunk = 2 * r["size"][run] + r["ended"], chunk + r["cuts"][run]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(states, pa.int32()), pa.array(chunks, pa.int32())], names=["book", "block", "state", "entered"])
+
+    def cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, size, chunk, ended = None, 0, 0, False
         for b in batches:
             chunks, seps = [], []
-            columns = (b.column(names.index(c)).to_pylist() for c in ("book", "n_chars", "ends", "starts", "breaks", "heads"))
-            for k, n, ends, starts, breaks, heads in zip(*columns, strict=True):
-                if fresh or k != book:
-                    book, size, chunk, ended, fresh = k, 0, 0, False, False
-                paragraph = size > 0 and (ended or starts)
-                sep = 2 if paragraph else 1
-                cut = size + sep + n > high or ((heads or breaks) and size > low) or (paragraph and size >= target)
-                if cut and size > 0:
+            columns = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("key", *flags, "state", "entered"))
+            for k, n, ends, starts, marks, state, entered in zip(*columns, strict=True):
+                if k != key:
+                    key, size, ended, chunk = k, state // 2, state % 2 == 1, entered
+                sep, cut = after(size, ended, n, starts, marks, low, target)
+                if cut:
                     chunk, size = chunk + 1, 0
                 seps.append("" if size == 0 else "\n" * sep)
                 size = n if size == 0 else size + sep + n
                 ended = ends
                 chunks.append(chunk)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunks, pa.int32()), pa.array(seps, pa.string())], names=[*names, "chunk", "sep"])
-
-    dealt = marked.repartition("book").sortWithinPartitions("book", "page", "line")
-    out = dealt.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema) + ", chunk int, sep string")
-    return out.drop("n_chars", "ends", "starts", "breaks", "heads")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunks, pa.int32()), pa.array(seps, pa.string())], names=[*b.schema.names, "chunk", "sep"])
+
+    dealt = marked.repartition("key")
+    led = dealt.sortWithinPartitions("key", "page", "line").mapInArrow(exits, f"book {kind}, block bigint, first array<bigint>, size array<bigint>, cuts array<bigint>, ended boolean")
+    entries = led.repartition("book").sortWithinPartitions("book", "block").mapInArrow(enter, f"book {kind}, block bigint, state int, entered int")
+    joined = dealt.join(entries.select(F.struct("book", "block").alias("key"), "state", "entered").hint("shuffle_hash"), "key")
+    ordered = joined.sortWithinPartitions("key", "page", "line")
+    out = ordered.mapInArrow(cut_lines, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) + ", chunk int, sep string")
+    return out.select(*lines.columns, "chunk", "sep")
 
 
 def assemble(scanned: DataFrame) -> DataFrame:

@@ -11,15 +11,27 @@ from pyspark.sql import functions as F
 from quire.functions.stats import dominant, mean_or
 from quire.functions.text import is_blank, strip
 
+#: Ids that are numbered together.
+RUN = 4096
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def book_pages(documents: DataFrame) -> DataFrame:
-    """(book, page, text): a source's documents are a book's pages, in the order of their ids."""
-    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return documents.select(F.col("source").alias("book"), page.cast("int").alias("page"), "text")
+    """(book, page, text): a source's documents are a book's pages, in the order of their ids.
+
+    Texts are numbered within runs of ids, and only the runs' counts within a source, so no task holds a source's texts.
+    The key is a struct, for which null sources are equal.
+    """
+    run = F.struct("source", F.floor(F.col("doc_id") / RUN).alias("run"))
+    counts = documents.select(run.alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key.source").orderBy("key.run")) - F.col("n")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1
+    rows = documents.select(run.alias("key"), "doc_id", "text").withColumn("place", place)
+    page = F.col("place") + F.col("before")
+    return rows.join(counts.select("key", before.alias("before")), "key").select(F.col("key.source").alias("book"), page.cast("int").alias("page"), "text")
 
 
 def text_lines(pages: DataFrame) -> DataFrame:

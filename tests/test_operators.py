@@ -61,6 +61,36 @@ def test_scan_follows_the_rules(spark, texts):
     assert chunked(spark, texts, 10) == by_rule(texts, 10)
 
 
+def test_blocks_of_pages_are_linked(spark, monkeypatch):
+    """Books of many blocks are cut as by one scan: with lines that never let the states meet, and of unlike lengths."""
+    monkeypatch.setattr(chunking, "BLOCK", 3)
+    parts = ["a", "bb.", "1. c", "d" * 9, "---", "e؟", "f" * 30, "g" * 5]
+    books = {"even": ["x" * 4] * 60, "mixed": [parts[(i * i + i // 5) % 8] for i in range(90)], None: [parts[i * 7 % 8] for i in range(50)], "short": ["a"]}
+    rows = [(b, i // 2, i % 2, t, "text", "prose") for b, texts in books.items() for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "book string, page int, line int, text string, type string, content_class string")
+    got = chunking.assemble(chunking.scan(df.repartition(5), 10)).collect()
+    for b, texts in books.items():
+        assert [r.raw_text for r in sorted((r for r in got if r.book == b), key=lambda r: r["index"])] == by_rule(texts, 10)
+
+
+def test_pages_are_numbered_across_runs(spark, monkeypatch):
+    monkeypatch.setattr(D, "RUN", 4)
+    rows = [(i * 3 - 20, None if i % 3 == 0 else f"s{i % 2}", str(i)) for i in range(40)]
+    got = D.book_pages(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)).collect()
+    for s in (None, "s0", "s1"):
+        assert [(r.page, r.text) for r in sorted((r for r in got if r.book == s), key=lambda r: r.page)] == list(enumerate(t for _, x, t in rows if x == s))
+
+
+def test_strip_and_classes(spark):
+    """Stripping is that of the pattern it stands for, over every character that may count as white space."""
+    rows = [(chr(c),) for c in (*range(0x250), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF)]
+    df = spark.createDataFrame(rows, "c string").selectExpr("concat(c, 'x', c, 'y', c, c) t")
+    assert df.filter(T.strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+    texts = {"see 2 :  ٣.": "quranic_verse", "a: 3": "prose", "HADITH x": "hadith", "قال روى": "hadith", "a\u00a0 \u3000 b": "poetry", "x ﴿ y ﴾": "quranic_verse", "﴾ ﴿": "prose", "10:5": "quranic_verse"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.content_class(F.col("t"), F.lit(0)).alias("c"))
+    assert {r.t: r.c for r in df.collect()} == texts
+
+
 def test_every_line_is_in_one_chunk(spark):
     scanned = chunking.scan(lines(spark, [f"line {i}." * (i % 7 + 1) for i in range(200)]), 40)
     assert scanned.count() == 200
