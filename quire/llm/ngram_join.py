@@ -7,7 +7,8 @@ counted in each fragment by itself, and the partial counts are summed per pair.
 
 Documents with the same set are one class. Only what decides the groups is tested: first each set with the hub of
 every shingle it shares, then the pairs that are still in different groups. No link between them is lost, and copies are never
-paired with each other one by one.
+paired with each other one by one. How many links each document has is counted afterwards, if asked for: links never
+leave a group, so a group's sets are dealt to blocks and each pair of blocks is a matrix of overlaps in one task.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ BROADCAST_IDS = 2_000_000
 FRAGMENTS = 4
 #: Hashes that a task holds before it sends them.
 _HASHES = 400_000
+#: Sets and shingles that a block of a group holds on average; a larger group has more blocks.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Shingles whose overlaps are counted at once.
+_COLUMNS = 4096
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -48,14 +53,145 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int | None, np.ndarra
             yield from zip(ids[i:j], shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], k), strict=True)
 
 
-def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): documents link when 100 * intersection >= percent * union.
+class Block:
+    """Sets of one group as a block of bytes: ids, copies and sizes, then all hashes.
 
-    component_id is the smallest id reachable by links; n_links counts the tested links between classes that touch
-    the document's class. A null or wordless text has no shingles, links with nothing and is its own component; with
-    fewer words than a shingle has, the whole sequence is one. A null id keeps its row, with a null component.
-    Rows that share an id share a component. Repeated rows give repeated rows; an empty table gives none; other
-    columns are dropped. Ties in size or hash don't matter: the groups are the same in any order.
+    An id that comes several times counts once, with its smallest set (the smallest hashes decide a tie).
+    """
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        heads, hashes = [], []
+        for raw in blobs:
+            k = int(np.frombuffer(raw, np.int64, 1)[0])
+            heads.append(np.frombuffer(raw, np.int64, 3 * k, 8).reshape(3, k))
+            hashes.append(np.frombuffer(raw, np.uint64, -1, 8 + 24 * k))
+        docs, copies, sizes = np.concatenate(heads, axis=1) if heads else np.zeros((3, 0), np.int64)
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        by = sorted(range(len(docs)), key=lambda i: (docs[i], sizes[i]))
+        if len(np.unique(docs)) < len(docs):
+            by.sort(key=lambda i: (docs[i], sizes[i], h[at[i] : at[i + 1]].tolist()))
+            by = [i for k, i in enumerate(by) if not k or docs[i] != docs[by[k - 1]]]
+        self.docs, self.copies, self.sizes = docs[by], copies[by], sizes[by]
+        self.hashes = np.concatenate([h[at[i] : at[i + 1]] for i in by]) if by else h
+        self.owner = np.repeat(np.arange(len(by)), self.sizes)
+
+    @staticmethod
+    def pack(rows: list[tuple[int, int, np.ndarray]]) -> bytes:
+        head = np.array([[d, copies, len(s)] for d, copies, s in rows], np.int64).T
+        return np.int64(len(rows)).tobytes() + np.ascontiguousarray(head).tobytes() + b"".join(s.tobytes() for _, _, s in rows)
+
+
+def overlaps(a: Block, b: Block) -> np.ndarray:
+    """How many shingles each set of a shares with each of b: fragment by fragment of the order, summed per pair."""
+    total = np.zeros((len(a.docs), len(b.docs)))
+    for f in range(FRAGMENTS):
+        x, y = (np.flatnonzero((z.hashes >> np.uint64(62)).astype(np.int64) * FRAGMENTS // 4 == f) for z in (a, b))
+        both = np.intersect1d(a.hashes[x], b.hashes[y])
+        parts = []
+        for z, at in ((a, x), (b, y)):
+            h, row = z.hashes[at], z.owner[at]
+            place = np.minimum(np.searchsorted(both, h), max(len(both) - 1, 0))
+            kept = both[place] == h if len(both) else np.zeros(len(h), bool)
+            by = np.argsort(place[kept], kind="stable")
+            parts.append((place[kept][by], row[kept][by], len(z.docs)))
+        for first in range(0, len(both), _COLUMNS):
+            wide = min(_COLUMNS, len(both) - first)
+            dense = []
+            for place, row, sets in parts:
+                i, j = np.searchsorted(place, [first, first + wide])
+                m = np.zeros((sets, wide), np.float32)
+                m[row[i:j], place[i:j] - first] = 1
+                dense.append(m)
+            total += dense[0] @ dense[1].T
+    return total.astype(np.int64)
+
+
+def _links_between(a: Block, b: Block | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, links): with how many documents of the other block each one links; b is None for links within a."""
+    other = a if b is None else b
+    common = overlaps(a, other)
+    linked = 100 * common >= percent * (a.sizes[:, None] + other.sizes[None, :] - common)
+    if b is None:
+        np.fill_diagonal(linked, False)
+        return a.docs, linked @ a.copies
+    return np.concatenate([a.docs, b.docs]), np.concatenate([linked @ b.copies, linked.T @ a.copies])
+
+
+def _count_links(base: DataFrame, groups: DataFrame, sets: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """(rep, others): how many documents of other classes each class links with.
+
+    groups(node, component) holds the classes that have a link at all, sets(doc, n, copies) every class. A group's
+    classes are dealt to blocks by hash, as many as its sets and shingles need, and every pair of its blocks is one
+    key of the shuffle. So a group of any size is many tasks; pairs become numbers where they are counted.
+    """
+    inside = groups.selectExpr("node doc", "component").join(sets, "doc")
+    room = inside.groupBy("component").agg(F.count("*").alias("sets"), F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    dealt = to_group(inside, room, ["component"], "sets", groups.count())
+    wanted = scratch.cut(dealt.select("doc", "component", "copies", "parts", F.expr("cast(pmod(xxhash64(doc), parts) as int)").alias("block")))
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int, int], list[tuple[int, int, np.ndarray]]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            component, parts, block = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(component, pa.int64()), pa.array(parts, pa.int32()), pa.array(block, pa.int32()), pa.array(map(Block.pack, held.values()), pa.binary())], names=["component", "parts", "block", "blob"])
+
+        for b in batches:
+            keys = zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)
+            for (d, s), (component, copies, parts, block) in zip(_sets(b, words), keys, strict=True):
+                if not len(s):
+                    continue
+                held.setdefault((component, parts, block), []).append((d, copies, s))
+                size += len(s)
+                if size > _HASHES:
+                    yield flush()
+                    held, size = {}, 0
+        if held:
+            yield flush()
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+
+        def done() -> tuple[np.ndarray, np.ndarray]:
+            a, b = Block(sides[0]), None if key[1] == key[2] else Block(sides[1])
+            return _links_between(a, b, percent)
+
+        def rows(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            ids, links = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(ids[links > 0]), pa.array(links[links > 0])], names=["rep", "others"])
+
+        for b in batches:
+            found = []
+            for component, low, high, block, blob in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (component, low, high) != key:
+                    if key:
+                        found.append(done())
+                    key, sides = (component, low, high), ([], [])
+                sides[block != low].append(blob)
+            if found:
+                yield rows(found)
+        if key:
+            yield rows([done()])
+
+    packed = base.join(near, "doc").select("doc", "text", "component", "copies", "parts", "block").mapInArrow(tidy(pack), "component long, parts int, block int, blob binary")
+    met = packed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("component", F.least("block", "j").alias("low"), F.greatest("block", "j").alias("high"), "block", "blob")
+    keyed = met.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
+    return keyed.mapInArrow(tidy(tally), "rep long, others long").groupBy("rep").agg(F.sum("others").alias("others"))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents link when 100 * intersection >= percent * union.
+
+    component_id is the smallest id reachable by links. With links, a further column n_links counts the other
+    documents that the document links with, its copies included; the work for it grows with the square of a group's
+    different texts. A null or wordless text has no shingles, links with nothing and is its own component; with
+    fewer words than a shingle has, the whole sequence is one. A null id keeps its row, with a null component and no
+    links. Rows that share an id share a component and are one document for n_links; if their texts differ, n_links is
+    that of one of them. Repeated rows give repeated rows; an empty table gives none; other columns are dropped. Ties
+    in size or hash don't matter: the groups are the same in any order.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "join")
@@ -208,7 +344,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
         known = F.expr("wa is not null and wb is not null and greatest(size(wa), size(wb)) <= 2 * least(size(wa), size(wb))")
         return x.filter(F.when(known, fits).otherwise(F.lit(True))).select("a", "b", "na", "nb")
 
-    def links(p: DataFrame) -> DataFrame:
+    def linked(p: DataFrame) -> DataFrame:
         """The pairs of p (a written table) that are links: partial overlaps per fragment, summed per pair."""
         wanted = p.selectExpr("a doc").union(p.selectExpr("b doc")).distinct()
         count = wanted.count()
@@ -242,7 +378,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
         return out
 
     tested = scratch.cut(narrowed(hopeful(pairs)))
-    found = links(tested)
+    found = linked(tested)
     groups = scratch.cut(components(found, scratch))
 
     # what is left: pairs under one shingle in different groups, thinned before they leave the task
@@ -283,9 +419,17 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     more = more.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(sized.selectExpr("doc a", "n na"), "a").join(sized.selectExpr("doc b", "n nb"), "b").select("a", "b", "na", "nb")
     more = scratch.cut(narrowed(more))
     if not more.isEmpty():
-        found = scratch.cut(found.union(links(more)))
+        found = scratch.cut(found.union(linked(more)))
         groups = scratch.cut(components(found, scratch))
-    ends = found.selectExpr("a rep").union(found.selectExpr("b rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    of = classes.join(groups.selectExpr("node rep", "component"), "rep", "left").join(ends, "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"), "n_links")
+    # a hot class's row is broadcast: its copies stay where they are
+    copies = scratch.cut(classes.groupBy("rep").agg(F.count("*").alias("copies")))
+    about = copies.join(groups.selectExpr("node rep", "component"), "rep", "left").select("rep", "copies", F.coalesce("component", "rep").alias("component"))
+    if links:
+        sets = signed.select("doc", "n").join(copies.withColumnRenamed("rep", "doc"), "doc")
+        others = _count_links(base, groups, sets, scratch, words, percent)
+        about = about.join(others, "rep", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0))).drop("others")
+    about = scratch.cut(about)
+    of = to_group(classes, about, ["rep"], "copies", classes.count()).drop("rep")
     out = rows.select("doc", "n").join(of, "doc", "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    number = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), *number)

@@ -44,7 +44,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_groups(_table(spark, sf_dir, "documents")).drop("n_links")
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), links=True)
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,9 +99,10 @@ ORACLES: dict[str, str] = {
         p AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
         e AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * c >= 80 * (u.n + v.n - c)),
         r(a, z) AS (SELECT x, y FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.z),
-        c AS (SELECT a, min(z) z FROM r GROUP BY a)
-        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) n_shingles, least(d.doc_id, coalesce(c.z, d.doc_id)) component_id
-        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id""",
+        c AS (SELECT a, min(z) z FROM r GROUP BY a),
+        k AS (SELECT x, count(*) n FROM e GROUP BY x)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) n_shingles, least(d.doc_id, coalesce(c.z, d.doc_id)) component_id, CAST(coalesce(k.n, 0) AS BIGINT) n_links
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id LEFT JOIN k ON k.x = d.doc_id""",
     "op7_chat": r"""
         WITH t0 AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations
             UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),

@@ -130,12 +130,43 @@ def brute_groups(rows, k=5, percent=80):
     return {d: (len(s), None if d is None else top(d)) for d, s in sets.items()}
 
 
+def brute_links(rows, k=5, percent=80):
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    real = {d: s for d, s in sets.items() if s and d is not None}
+    return {d: sum(e != d and 100 * len(s & x) >= percent * len(s | x) for e, x in real.items()) if d in real else 0 for d, s in sets.items()}
+
+
 def test_groups(spark, docs):
     chain = spark.range(40).selectExpr("id + 1000 doc_id", "concat_ws(' ', transform(sequence(id, id + 60), x -> concat('w', x))) text")
     df = mixed(spark, docs).union(chain)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df).collect()}
-    assert got == brute_groups([(r.doc_id, r.text) for r in df.collect()])
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    found = ngram_join.similar_groups(df, links=True).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found}
+    assert got == brute_groups(rows)
     assert got[1010][1] == 1000
+    assert {r.doc_id: r.n_links for r in found} == brute_links(rows)
+
+
+def test_links_of_groups_in_many_blocks(spark, monkeypatch):
+    """A group of many near copies, some of them exact, in blocks of a few sets; an id that is there twice is one."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    rng = np.random.default_rng(29)
+    text = [f"w{i}" for i in range(200)]
+    rows = []
+    for d in range(60):
+        mine = list(text)
+        for i in rng.integers(0, 200, int(rng.integers(0, 6))):
+            mine[i] = f"v{rng.integers(0, 9)}"
+        rows.append((d, " ".join(mine)))
+    rows += [(100 + d, rows[d][1]) for d in range(0, 60, 9)]
+    df = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string").repartition(3)
+    found = ngram_join.similar_groups(df, links=True)
+    want = brute_links(rows)
+    assert {r.doc_id: r.n_links for r in found.collect()} == want
+    assert len(set(want.values())) > 10
 
 
 def test_near_copies_of_a_text(spark):
