@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +44,20 @@ def is_all_caps(text: Column) -> Column:
     return (F.length(text) > 3) & (text == F.upper(text)) & (text != F.lower(text))
 
 
+@cache
+def single_capitals() -> dict[str, str]:
+    """Characters that have one character as their capital. That of ß isn't among Python's mappings."""
+    each = ((c, c.upper(), c.title()) for c in map(chr, range(sys.maxunicode + 1)))
+    found = {c: u if len(u) == 1 else t for c, u, t in each if len(u) == 1 or len(t) == 1}
+    return {c: x for c, x in found.items() if c != x} | {"ß": "ẞ"}
+
+
+def capitals(text: Column) -> Column:
+    """In capitals, character by character as DuckDB's upper: ß gives ẞ and a ligature stays, where Spark's upper gives several letters."""
+    table = single_capitals()
+    return F.translate(text, "".join(table), "".join(table.values()))
+
+
 def starts_item(text: Column) -> Column:
     return strip(text).rlike(ITEM_START)
 
