@@ -43,3 +43,9 @@ def test_decide_flags_with_several_capitals(both):
     got, want = both("decide_flags")
     assert got == want
     assert "STRAẞE" in {x for r in got for x in r}
+
+
+def test_decided_to_glossary_with_several_capitals(both):
+    got, want = both("decided_to_glossary")
+    assert got == want
+    assert "STRAẞE" in {x for r in got for x in r}
